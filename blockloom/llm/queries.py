@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import identity as I
 from blockloom.llm.history_dedup import BatchHistory, block_rows, duplicate_blocks
+from blockloom.llm.leakage import leak_report, leaks
+from blockloom.llm.mixing import mix
 from blockloom.llm.packing import fill_report, pack
+from blockloom.llm.reading_level import levels, profile
 from blockloom.llm.seen_keys import SeenKeys, error_report
 from blockloom.workspace import table
 
@@ -85,6 +88,39 @@ def p5_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 P5_SQL = "select distinct lower(hex(key)) key_hex, chunk_offset from blob_data where chunk_size > 4194304"
 
+
+
+# ---- p7: evaluation passages in documents ----
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p7_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
+    return leak_report(p7_found(spark, sf), table(spark, sf, "eval_items"))
+
+
+# ---- p8: sources mixed to target shares ----
+def p8_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(table(spark, sf, "documents"), table(spark, sf, "source_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(table(spark, sf, "documents"), table(spark, sf, "source_targets"))[1]
+
+
+# ---- p9: reading level ----
+def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return levels(table(spark, sf, "documents"), table(spark, sf, "level_labels"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_levels(spark, sf).where("level >= 4").select("doc_id")
+
+
+def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return profile(p9_levels(spark, sf))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_duplicate_blocks": p1_duplicate_blocks,
@@ -93,5 +129,12 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_containers": p5_containers,
     "p5_fill": p5_fill,
+    "p7_found": p7_found,
+    "p7_leaked_items": p7_leaked_items,
+    "p8_drawn": p8_drawn,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_levels": p9_levels,
+    "p9_profile": p9_profile,
 }
 SQL = {"p1_found": P1_SQL, "p1_duplicate_blocks": P1_BLOCKS_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL}

@@ -107,7 +107,7 @@ def own_rows(df: DataFrame, org: str, column: str = "org_id", shared: bool = Fal
     return df.where(own | F.col(column).isNull() if shared else own)
 
 
-FIELDS = {"hash": "blob_hash", "content_type": "content_type", "size": "size_bytes", "created": "created_at", "namespace": "namespace"}
+FIELDS = {"hash": "blob_hash", "content_type": "content_type", "size": "size_bytes", "created": "created_at", "namespace": "namespace", "title": "title"}
 
 
 @dataclass(frozen=True)

@@ -16,9 +16,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from blockloom.operators.govern import take_tokens
 
 
-def read_files(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1, kind: str = "parquet") -> DataFrame:
+def read_files(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1, kind: str = "parquet", glob: str | None = None) -> DataFrame:
     """Arriving files as a stream; ``files_per_trigger`` bounds what is in flight (back-pressure)."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(kind).load(path)
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(kind)
+    return (r.option("pathGlobFilter", glob) if glob else r).load(path)
 
 
 def _out(pdfs: list[pd.DataFrame], columns: list[str]) -> pd.DataFrame:

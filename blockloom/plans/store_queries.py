@@ -12,11 +12,13 @@ from blockloom.operators.orphans import orphans, parent_summary, reference_summa
 from blockloom.workspace import table, written
 
 # ---- p2: replica against replica_mirror ----
+#: what may stand around an etag's value
+ETAG_DRESS = r"""^[\s"']*(?:w/)?[\s"']*|[\s"']+$"""
 REPLICA_KEY = ("algo_id", "hash", "store_key")
 
 
 def _replica_fields() -> dict:
-    etag = F.regexp_replace(F.lower("etag"), r'^\s*(w/)?\s*"?\s*|\s*"?\s*$', "")
+    etag = F.regexp_replace(F.lower("etag"), ETAG_DRESS, "")
     return {
         "size_bytes": F.col("size_bytes"),
         "etag": F.nullif(etag, F.lit("")),
@@ -42,9 +44,10 @@ def p2_summary(spark: SparkSession, sf: str) -> DataFrame:
     return p2_found(spark, sf).groupBy("finding", "algo_id").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
-_P2_SIDE = """select algo_id, hash, store_key, size_bytes, etag, status, storage_class from (
-  select algo_id, hash, store_key, size_bytes, nullif(regexp_replace(lower(etag), '^\\s*(w/)?\\s*"?\\s*|\\s*"?\\s*$', '', 'g'), '') etag,
-    lower(status) status, lower(storage_class) storage_class, last_verified_at v from {t}
+_DRESS = ETAG_DRESS.replace("'", "''")
+_P2_SIDE = f"""select algo_id, hash, store_key, size_bytes, etag, status, storage_class from (
+  select algo_id, hash, store_key, size_bytes, nullif(regexp_replace(lower(etag), '{_DRESS}', '', 'g'), '') etag,
+    lower(status) status, lower(storage_class) storage_class, last_verified_at v from {{t}}
   where algo_id is not null and hash is not null and store_key is not null)
   qualify row_number() over (partition by algo_id, hash, store_key order by v desc nulls last, size_bytes desc nulls last,
     etag desc nulls last, status desc nulls last, storage_class desc nulls last) = 1"""

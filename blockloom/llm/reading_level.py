@@ -94,7 +94,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         keys, n = list(words), list(words.values())
         words.clear()
-        return pa.record_batch([pa.array(["w"] * len(keys)), pa.nulls(len(keys), pa.int64()), pa.array(keys, pa.string()), pa.array(n, pa.int64())], ["kind", "doc_id", "text", "n"])
+        return pa.record_batch([pa.array(["w"] * len(keys), pa.string()), pa.nulls(len(keys), pa.int64()), pa.array(keys, pa.string()), pa.array(n, pa.int64())], ["kind", "doc_id", "text", "n"])
 
     for b in batches:
         ids, texts, ns = [], [], []

@@ -6,12 +6,14 @@ executors share (``spark.checkpoint.dir``); nothing here keeps its only copy in
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/blockloom/{name}-{uuid.uuid4().hex[:12]}"
+def fresh_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; unless kept, :func:`release` removes it, at the latest when the driver ends."""
+    path = f"{shared_dir(spark)}/blockloom/{name}-{uuid.uuid4().hex[:12]}"
+    if not keep:
+        if not _MADE:
+            atexit.register(release)
+        _MADE.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Removes the intermediate tables made so far. Frames that read them can't be used any more."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001, S110 - the driver is ending; what can't be reached stays
+            pass
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

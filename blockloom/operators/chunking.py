@@ -268,3 +268,10 @@ def sharing(blocks: DataFrame, key: str, digest: str, size: str) -> DataFrame:
         F.sum(F.col("n") * F.col("s")).cast("bigint").alias("bytes"),
         F.sum((F.col("n") - 1) * F.col("s")).cast("bigint").alias("saved_bytes"),
     )
+
+
+def whole_frames(df: DataFrame, part: Sequence[str], order: Sequence[str], data: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """(frames, left_over): only whole frames of ``n`` bytes, and what is kept back of each stream."""
+    b = rechunk(df, part, order, data, n)
+    whole = F.octet_length("block") == clamp(n)
+    return b.where(whole), b.where(~whole).select(*part, F.col("block").alias("left_over"))

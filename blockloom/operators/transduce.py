@@ -260,3 +260,72 @@ def scan_with_tail(df: DataFrame, part: Cols, order: Cols, sums: dict[str, Colum
     tail = df.groupBy(*part).agg(*[F.coalesce(F.sum(e), F.lit(0)).alias(n) for n, e in sums.items()])
     types = dict(df.dtypes)
     return steps.unionByName(tail.select(*part, *[F.lit(None).cast(types[o]).alias(o) for o in order], *sums, F.lit(True).alias("is_tail")))
+
+
+def fold(df: DataFrame, part: Cols, order: Cols, item: Column, init: Column, step, finish=lambda s: s, name: str = "state") -> DataFrame:
+    """(part..., state) of any fold: ``step(state, item)`` and ``finish(state)`` are column functions, evaluated in the JVM over a
+    stream's items in order. A stream must fit a row; use :func:`running_sum` and its kin where the state only adds up."""
+    g = df.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct(*order, item.alias("__v")))).alias("__s"))
+    return g.select(*part, F.aggregate("__s", init, lambda acc, x: step(acc, x["__v"]), finish).alias(name))
+
+
+def fold_emit(df: DataFrame, part: Cols, order: Cols, cols: Cols, schema: str, machine) -> DataFrame:
+    """Any state machine with outputs: ``machine(rows)`` gets an iterator over the rows of one stream, in order, as tuples of ``cols``
+    and yields output tuples, the last ones after its input has ended (flush). ``schema`` names and types them; the part columns come
+    first. The slow path: one Python call per stream, for logic that columns can't say."""
+    import pandas as pd
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    names = [x.split()[0].strip("`") for x in schema.split(",")]
+
+    def run(pdf):
+        pdf = pdf.sort_values(list(order), kind="stable")
+        out = pd.DataFrame(list(machine(pdf[list(cols)].itertuples(index=False, name=None))), columns=names)
+        for i, p in enumerate(part):
+            out.insert(i, p, [pdf[p].iloc[0]] * len(out))
+        return out
+
+    src = df.select(*dict.fromkeys([*part, *order, *cols]))
+    return src.groupBy(*part).applyInPandas(run, ", ".join([*(f"`{p}` {types[p]}" for p in part), schema]))
+
+
+def hash_stream(df: DataFrame, part: Cols, order: Cols, data: str) -> DataFrame:
+    """(part..., digest, hashed_bytes): SHA-256 of each whole stream. Chunk by chunk in Python, so the bytes of a stream are never
+    joined into one value; empty streams hash no bytes."""
+    import hashlib
+
+    def machine(rows):
+        h, n = hashlib.sha256(), 0
+        for (d,) in rows:
+            if d is not None:
+                h.update(d)
+                n += len(d)
+        yield h.hexdigest(), n
+
+    return fold_emit(df, part, order, [data], "digest string, hashed_bytes bigint", machine)
+
+
+def observed(df: DataFrame, name: str, size: Column | None = None):
+    """(df, observation): passes everything through; after an action the observation holds ``rows`` and, with a size, ``bytes``."""
+    from pyspark.sql import Observation
+
+    o = Observation(name)
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    if size is not None:
+        aggs.append(F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"))
+    return df.observe(o, *aggs), o
+
+
+def count_hash_rechunk(df: DataFrame, part: Cols, order: Cols, data: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks, summary): re-blocked streams and per stream its bytes, chunks and digest."""
+    from blockloom.operators import chunking
+
+    summary = telemetry_final(df, part, order, data).select(*part, "bytes", "chunks", "sha256")
+    return chunking.rechunk(df, part, order, data, n), summary
+
+
+def ingest_keys(df: DataFrame, part: Cols, order: Cols, data: str, n: int) -> DataFrame:
+    """(part..., block_index, block, block_key, size): streams to keyed blocks; empty blocks are skipped."""
+    from blockloom.operators import chunking, store
+
+    return store.keyed_blocks(chunking.rechunk(df, part, order, data, n))

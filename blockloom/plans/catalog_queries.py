@@ -494,6 +494,55 @@ def catalog_cas_ref(spark, sf):
     return d.select(I.hex_lower(F.col("key")).alias("key_hex"), F.octet_length("checksum").cast("bigint").alias("digest_bytes"), F.base64("checksum").alias("digest"), "row_version").distinct()
 
 
+@query("select o_orderkey as job_id, o_orderdate as run_at from orders where o_orderstatus = 'O' and o_orderdate <= timestamp '1998-01-01' and (o_totalprice < 1000 or o_orderdate < timestamp '1997-01-01') order by o_orderdate, o_orderkey limit 50")
+def catalog_runnable(spark, sf):
+    return C.runnable_jobs(_jobs(spark, sf), F.lit("1998-01-01").cast("timestamp_ntz"), 50).select("job_id", "run_at")
+
+
+def _jobs(spark, sf):
+    """Orders as jobs; cheap ones carry no lease, others one of a year."""
+    lease = F.when(F.col("o_totalprice") >= 1000, F.col("o_orderdate") + F.expr("interval 365 days"))
+    late = F.when(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"), F.lit(None)).otherwise(lease)
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "O", "queued").otherwise("done").alias("status"), F.col("o_orderdate").alias("run_at"), late.alias("lease_until"))
+
+
+@query("select count(*) as queued from orders where o_orderstatus = 'O'")
+def catalog_queued(spark, sf):
+    return C.queued_count(_jobs(spark, sf))
+
+
+@query(f"select o as org_id, max(seq) + 1 as next_seq, arg_max(lower(hex(r.h)), seq) as prev_hash from (select {I.sql_org('org_id')} o, seq, max(struct_pack(h := row_hash)) r from audit_record where org_id is not null and seq is not null group by 1, 2) group by 1")
+def catalog_next_audit(spark, sf):
+    a = table(spark, sf, "audit_record").select(I.org(F.col("org_id")).alias("org_id"), "seq", "row_hash").where("org_id is not null")
+    a = a.groupBy("org_id", "seq").agg(F.max("row_hash").alias("row_hash"))
+    return C.next_audit(a, ["org_id"], "seq", "row_hash").select("org_id", "next_seq", F.lower(F.hex("prev_hash")).alias("prev_hash"))
+
+
+@query("select distinct lower(hex(hash)) as hash_hex, coalesce(lower(storage_class), '') || '://' || coalesce(sector, '') || '/' || lower(hex(store_key)) as locator, sector is not null as ok from replica")
+def catalog_locators(spark, sf):
+    loc = F.to_json(F.struct(F.col("sector").alias("bucket"), I.hex_lower(F.col("store_key")).alias("key")))
+    d = table(spark, sf, "replica")
+    return d.select(I.hex_lower(F.col("hash")).alias("hash_hex"), C.locator_canonical(F.lower("storage_class"), F.col("sector"), I.hex_lower(F.col("store_key"))).alias("locator"), C.locator_ok(F.lit("s3"), loc).alias("ok")).distinct()
+
+
+@query("select lower(hex(key)) as key_hex, size_bytes, checksum is not null as inline, row_version from blobs")
+def catalog_head(spark, sf):
+    b = table(spark, sf, "blobs")
+    return C.head(b.withColumn("k", F.struct(I.hex_lower(F.col("key")).alias("key_hex"), "row_version")), "k", "checksum", "size_bytes").select("k.key_hex", "size_bytes", "inline", "k.row_version")
+
+
+@query("select action_name, count(*) as n from audit_record where action_name in ('blob.read', 'blob.write') group by 1")
+def catalog_subscribe(spark, sf):
+    return C.subscribe(table(spark, sf, "audit_record"), ["blob.read", "blob.write"], "action_name").groupBy("action_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select doc_id, block_index as ordinal, sha256(block) as digest from {B256} b where doc_id in (select doc_id from documents where doc_status = 'draft')")
+def catalog_export(spark, sf):
+    b, m = _ingested(spark, sf)
+    chosen = table(spark, sf, "documents").where("doc_status = 'draft'").select("doc_id")
+    return C.export(m, b, chosen, "doc_id").select("doc_id", "ordinal", F.sha2("block", 256).alias("digest"))
+
+
 @query()
 def catalog_schema(spark, sf):
     parts = [C.describe(table(spark, sf, t), t) for t in ("documents", "blobs", "audit_record")]

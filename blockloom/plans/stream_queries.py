@@ -189,6 +189,46 @@ def stream_throughput(spark, sf):
     return t.withColumn("bytes_per_second", F.round("bytes_per_second", 9))
 
 
+@query("select user_id, list_reduce(list_prepend(0::bigint, list(cast(floor(value) as bigint) order by ts, event_id)), lambda a, x: (a * 31 + x) % 1000003) as state from events where value is not null group by 1")
+def stream_fold(spark, sf):
+    e = _events(spark, sf).where("value is not null")
+    return X.fold(e, PART, ORDER, F.floor("value").cast("bigint"), F.lit(0).cast("bigint"), lambda a, x: (a * 31 + x) % 1000003)
+
+
+@query("select user_id, event_id as ended_by, n from (select *, row_number() over (partition by user_id order by ts, event_id) i, count(*) over (partition by user_id) c from events) join (select user_id u, count(*) n from events group by 1) on u = user_id where i = c")
+def stream_fold_emit(spark, sf):
+    """A machine that gives one row at the end of each stream."""
+
+    def machine(rows):
+        last, n = None, 0
+        for (last,) in rows:
+            n += 1
+        yield last, n
+
+    return X.fold_emit(_events(spark, sf), PART, ORDER, ["event_id"], "ended_by bigint, n bigint", machine)
+
+
+@query("select user_id, sha256(string_agg(props, '' order by ts, event_id)) as digest, sum(octet_length(encode(props)))::bigint as hashed_bytes from events group by 1")
+def stream_hash(spark, sf):
+    d = _events(spark, sf).withColumn("chunk", F.encode("props", "UTF-8"))
+    return X.hash_stream(d, PART, ORDER, "chunk")
+
+
+@query("with h as (select user_id, string_agg(hex(encode(props)), '' order by ts, event_id) h from events group by 1), k as (select user_id, unnest(range(0, (length(h) // 2 + 99) // 100)) i, h from h), b as (select user_id, i, substr(h, i * 200 + 1, 200) x from k) select user_id, i as block_index, 'sha-256:' || sha256(unhex(x)) || ':' || length(x) // 2 as block_key from b")
+def stream_ingest_keys(spark, sf):
+    d = _events(spark, sf).withColumn("chunk", F.encode("props", "UTF-8"))
+    return X.ingest_keys(d, PART, ORDER, "chunk", 100).select("user_id", "block_index", "block_key")
+
+
+@query("with h as (select user_id, string_agg(hex(encode(props)), '' order by ts, event_id) h from events group by 1) select user_id, length(h) // 200 as frames, (length(h) // 2) % 100 as left_over from h")
+def stream_whole_frames(spark, sf):
+    d = _events(spark, sf).withColumn("chunk", F.encode("props", "UTF-8"))
+    frames, rest = chunking.whole_frames(d, PART, ORDER, "chunk", 100)
+    g = frames.groupBy("user_id").agg(F.count(F.lit(1)).alias("frames"))
+    j = g.join(rest, "user_id", "full")
+    return j.select("user_id", F.coalesce("frames", F.lit(0)).alias("frames"), F.coalesce(F.octet_length("left_over"), F.lit(0)).cast("bigint").alias("left_over"))
+
+
 @query("select request_id, case when regexp_full_match(request_id[1:4], '[0-9]+') then request_id[1:4]::bigint end as as_int, ('0x' || request_id[1:6])::bigint as as_hex from audit_record where request_id is not null")
 def stream_parse(spark, sf):
     d = table(spark, sf, "audit_record").where("request_id is not null")

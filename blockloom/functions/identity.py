@@ -15,51 +15,49 @@ DIGEST_RE = rf"^\s*(?:{ALGO}\s*[:=]\s*|0x)*([0-9a-f]+)\s*(?::\s*[0-9]+)?\s*$"
 KEY_RE = rf"^\s*({ALGO})\s*:\s*(?:{ALGO}\s*:\s*|0x)*([0-9a-f]+)\s*(?::\s*[0-9]+\s*)?:\s*0*([0-9]+)\s*$"
 ORG_JUNK_RE = r"^\s*[{(]?\s*(?:urn:)?(?:uuid:)?(?:0x)?|[^0-9a-z]"
 BLANK_RE = r"^\s+|\s+$"
-HEX_DIGITS = {"sha-1": 40, "sha-256": 64, "blake3": 64}
+VALID_RE = "^(?:sha-1:[0-9a-f]{40}|(?:sha-256|blake3):[0-9a-f]{64}):[0-9]+$"
 
 
+# Each form is a chain in which every pattern is matched once per row: a Column that is named twice in an expression is computed twice.
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), BLANK_RE, "")
 
 
 def digest(c: Column) -> Column:
     """The hexadecimal digits of a digest, lower case."""
-    low = F.lower(c)
-    return F.when(c.isNull(), None).otherwise(F.coalesce(F.nullif(F.regexp_extract(low, DIGEST_RE, 1), F.lit("")), trimmed(c)))
+    return F.regexp_replace(F.regexp_replace(F.lower(c), DIGEST_RE, "$1"), BLANK_RE, "")
 
 
 def algorithm(c: Column) -> Column:
-    bare = F.regexp_replace(trimmed(c), "-", "")
-    return F.when(bare == "sha256", "sha-256").when(bare == "sha1", "sha-1").otherwise(bare)
+    return F.regexp_replace(F.regexp_replace(trimmed(c), "-", ""), "^sha(256|1)$", "sha-$1")
 
 
 def block_key(c: Column) -> Column:
     """``algorithm:digest:size`` in canonical form."""
-    low = F.lower(c)
-    parts = [F.regexp_extract(low, KEY_RE, i) for i in (1, 2, 3)]
-    return F.when(c.isNull(), None).when(parts[1] == "", trimmed(c)).otherwise(F.concat_ws(":", algorithm(parts[0]), parts[1], parts[2]))
+    parts = F.regexp_replace(F.lower(c), KEY_RE, "$1:$2:$3")
+    return F.regexp_replace(F.regexp_replace(parts, "^sha-?(256|1):", "sha-$1:"), BLANK_RE, "")
+
+
+def _whole_key(c: Column) -> Column:
+    return F.nullif(F.regexp_extract(c, VALID_RE, 0), F.lit(""))
 
 
 def valid_block_key(algo: Column, hex_digits: Column, size: Column) -> Column:
     """The canonical key of (algorithm, digest, size), null unless the digest has the algorithm's number of hex digits."""
-    a, d = algorithm(algo), digest(hex_digits)
-    whole = d.rlike("^[0-9a-f]+$") & F.coalesce(
-        F.when(a == "sha-1", F.length(d) == 40).when(a.isin("sha-256", "blake3"), F.length(d) == 64), F.lit(False)
-    )
-    return F.when(whole & size.isNotNull(), F.concat_ws(":", a, d, size.cast("string")))
+    return _whole_key(F.concat(algorithm(algo), F.lit(":"), digest(hex_digits), F.lit(":"), size.cast("string")))
 
 
 def valid_key_text(c: Column) -> Column:
     """:func:`block_key`, null unless its digest has the algorithm's number of hex digits."""
-    k = block_key(c)
-    return F.when(k.rlike("^(sha-1:[0-9a-f]{40}|(sha-256|blake3):[0-9a-f]{64}):[0-9]+$"), k)
+    return _whole_key(block_key(c))
 
 
 def org(c: Column) -> Column:
     """A UUID as 8-4-4-4-12, lower case; blank text is null."""
     bare = F.regexp_replace(F.lower(c), ORG_JUNK_RE, "")
-    cut = F.concat_ws("-", *[F.substring(bare, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    return F.when(bare.rlike("^[0-9a-f]{32}$"), cut).otherwise(F.nullif(trimmed(c), F.lit("")))
+    uuid = F.nullif(F.regexp_extract(bare, "^[0-9a-f]{32}$", 0), F.lit(""))
+    cut = F.regexp_replace(uuid, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return F.coalesce(cut, F.nullif(trimmed(c), F.lit("")))
 
 
 def hex_lower(c: Column) -> Column:

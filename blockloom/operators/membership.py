@@ -54,16 +54,21 @@ def probe_filter(df: DataFrame, key: str, filt: DataFrame, n_words: int, flag: s
     return d.join(f, F.col("__w") == F.col("__word"), "left").withColumn(flag, hit).drop("__w", "__m", "__word", "__bits")
 
 
-def skew_safe_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+def skew_safe_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined to ``right`` (unique on ``key``) where one key may hold a large share of ``left``.
 
     Keys with more than one in HOT_SHARE of ``total`` rows, HOT_SHARE at most, have their rows of ``right`` broadcast, so their
     ``left`` rows stay where they are; all others take the shuffle join. ``how`` is inner, left, left_semi or left_anti.
+    ``counts`` (key, n), if the rows of each key are already known, saves counting them.
     """
-    floor = max(1000, total // HOT_SHARE)
-    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where((F.col("__n") > floor) & F.col(key).isNotNull())
-    hot = hot.select(F.col(key).alias("__hot"))
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = counts.where((F.col("n") > hot_floor(total)) & F.col(key).isNotNull()).select(F.col(key).alias("__hot"))
     hot_rows = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left_semi")
     cold_rows = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left_anti")
     hot_right = right.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left_semi")
     return hot_rows.join(F.broadcast(hot_right), key, how).unionByName(cold_rows.join(right, key, how))
+
+
+def hot_floor(total: int) -> int:
+    return max(1000, total // HOT_SHARE)

@@ -34,7 +34,7 @@ class SeenKeys:
         disk. Cells in which two different keys of the batch meet are resolved by their full keys.
         """
         rows = batch.where("key is not null").select("record_id", "key", word_of(F.col("key"), self.n_words).alias("word"), mask_of(F.col("key")).alias("mask"))
-        rows = rows.withColumn("cell", F.xxhash64("word", "mask"))
+        rows = written(rows.withColumn("cell", F.xxhash64("word", "mask")), "batch")
         cells = rows.groupBy("word", "mask", "cell").agg(
             F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first"), F.min("key").alias("key"), F.max("key").alias("other")
         )
@@ -47,9 +47,9 @@ class SeenKeys:
         single = single.withColumn("known", F.coalesce("known", F.lit(False)))
         alone = single.where("n = 1 and known").select(F.col("first").alias("record_id"))
         # equal keys inside the batch: every record but the first, or all of them when the history has the key
-        total = batch.count()
-        again = single.where("n > 1").select("cell", "first", "known")
-        repeats = skew_safe_join(rows.select("cell", "record_id"), again, "cell", total).where("known or record_id > first").select("record_id")
+        total = rows.count()
+        again = single.where("n > 1").select("cell", "first", "known", "n")
+        repeats = skew_safe_join(rows.select("cell", "record_id"), again.drop("n"), "cell", total, counts=again.select("cell", "n")).where("known or record_id > first").select("record_id")
         # different keys in one cell: by full key
         mixed = rows.join(cells.where("key <> other").select("cell"), "cell", "left_semi")
         firsts = mixed.groupBy("key").agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("n"))

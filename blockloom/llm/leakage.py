@@ -43,9 +43,17 @@ _ESC = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([nrt])|\\(.)")
 _QP = re.compile(r"(?:=[0-9A-F]{2})+|(?:%[0-9A-Fa-f]{2})+")
 _DIGITS = re.compile(r"(?<=\d)[,.'’_  ](?=\d)")
 _BREAK = re.compile(r"[-‐­=][ \t]*\r?\n[>|#*\s]*")
+_LINK = re.compile(r"\]\([^()\s]{0,300}\)")
 _INLINE = {"b", "i", "em", "strong", "span", "a", "u", "code", "mark", "small", "sup", "sub", "wbr", "font"}
 
 
+def _bare(t: str) -> str:
+    """Without tags and link targets; tags that may stand inside a word leave nothing."""
+    if "<" in t:
+        t = _TAG.sub(lambda m: "" if m.group(2).lower() in _INLINE else " ", t)
+    return _LINK.sub("]", t) if "](" in t else t
+
+
 def _unmojibake(m: re.Match) -> str:
     s = m.group(0)
     for enc in ("cp1252", "latin-1"):
@@ -78,9 +86,7 @@ def words(text: str) -> list[str]:
     for _ in range(2):
         if "&" in t:
             t = html.unescape(t)
-    if "<" in t:
-        t = _TAG.sub(lambda m: "" if m.group(2).lower() in _INLINE else " ", t)
-    t = _BREAK.sub("", t)
+    t = _BREAK.sub("", _bare(t))
     if "=" in t or "%" in t:
         t = _QP.sub(_quoted_bytes, t)
     if not t.isascii():
@@ -97,6 +103,7 @@ def _cheap(t: str) -> list[bytes]:
     """The screen's tokens: some spellings stay in pieces, but the pieces of all spellings of an item's word are known."""
     if "&" in t:
         t = html.unescape(t)
+    t = _bare(t)
     if "-" in t or "=\n" in t or "­" in t or "‐" in t:
         t = _BREAK.sub("", t)
     if not t.isascii():

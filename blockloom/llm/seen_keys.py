@@ -22,6 +22,16 @@ class SeenKeys:
         filt.groupBy("word").agg(F.bit_or("mask").alias("bits")).write.parquet(f"{self.path}/filter")
         self.filter = spark.read.parquet(f"{self.path}/filter")
 
+    def add(self, keys: DataFrame) -> None:
+        """Takes the keys of a checked batch into the history: both tables are appended, nothing is rewritten. The filter's number of
+        words stays, so choose ``n_words`` for the keys to come; a fuller filter only sends more keys to the exact lookup."""
+        new = written(keys.where("key is not null").select("key").distinct().join(self.keys, "key", "left_anti"), "new-keys")
+        filt = new.select(word_of(F.col("key"), self.n_words).alias("word"), mask_of(F.col("key")).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+        filt.write.mode("append").parquet(f"{self.path}/filter")
+        new.write.mode("append").parquet(f"{self.path}/keys")
+        self.keys = self.spark.read.schema("key string").parquet(f"{self.path}/keys")
+        self.filter = self.spark.read.parquet(f"{self.path}/filter").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
     def check(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(seen, verdicts) of a batch with columns ``record_id`` (order of arrival, unique) and ``key``.
 

@@ -88,6 +88,17 @@ def test_history_large_sets_in_parts(spark, monkeypatch):
     test_history_finds_all_pairs(spark, 5, 2)
 
 
+def test_history_reopened(spark, tmp_path):
+    sets = ingests(8)
+    df = spark.createDataFrame([(i, b, f.encode()) for i, b, s in sets for f in s], "ingest_id bigint, batch_id int, f binary")
+    at = str(tmp_path / "history")
+    H.BatchHistory(spark, at, n_words=1 << 12).accept(df.where("batch_id <= 3"))
+    h = H.BatchHistory(spark, at, n_words=1 << 12)
+    assert h.calls == 1
+    h.accept(df.where("batch_id > 3"))
+    assert {tuple(r) for r in h.pairs().collect()} == brute_pairs(sets)
+
+
 def test_history_empty(spark):
     h = H.BatchHistory(spark)
     h.accept(spark.createDataFrame([], "ingest_id bigint, batch_id int, f binary"))
@@ -125,6 +136,16 @@ def test_seen_keys(spark, seed, n_words):
     assert rep.get(("maybe", "known"), 0) == len(keys & {k for k in known if k})
 
 
+def test_seen_keys_grow(spark):
+    frame = lambda ks: spark.createDataFrame(list(enumerate(ks)), "record_id bigint, key string")
+    s = S.SeenKeys(spark, frame(["a", "b"]).select("key"), n_words=64)
+    one = frame(["a", "c", None, "c"])
+    assert sorted(r[0] for r in s.check(one)[0].collect()) == [0, 3]
+    s.add(one.select("key"))
+    s.add(frame(["z"]).select("key"))
+    assert sorted(r[0] for r in s.check(frame(["c", "d", "z", "b"]))[0].collect()) == [0, 2, 3]
+
+
 def test_seen_keys_empty(spark):
     none = spark.createDataFrame([], "key string")
     batch = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "record_id bigint, key string")
@@ -193,6 +214,7 @@ DRESSES = {
     "quoted": lambda t: "\n".join("> " + " ".join(t.split()[i : i + 7]) for i in range(0, 99, 7)),
     "hyphens": lambda t: t.replace("counted", "coun-\nted").replace("foundry", "foun-\n> dry").replace("priceless", "price­less"),
     "markup": lambda t: "<p>" + html.escape(t).replace("sealed", "<b>sealed</b>").replace(" hung", "<br/>hung") + "</p>",
+    "links": lambda t: t.replace("mossy", "[mossy](https://example.org/a-b?c=d#e)").replace("amber", '<a class="x y" href="https://example.org/z">am<i>ber</i></a>'),
     "emphasis": lambda t: t.replace("mossy", "**mossy**").replace("amber", "_amber_"),
     "json": lambda t: '{"text": "' + t.encode("ascii", "backslashreplace").decode().replace("\\xf1", "\\u00f1").replace("\\x", "\\u00") + '"}',
     "mojibake": lambda t: t.encode("utf-8").decode("cp1252", "replace"),

@@ -61,9 +61,8 @@ def skew_safe_join(left: DataFrame, right: DataFrame, key: str, total: int, how:
     ``left`` rows stay where they are; all others take the shuffle join. ``how`` is inner, left, left_semi or left_anti.
     ``counts`` (key, n), if the rows of each key are already known, saves counting them.
     """
-    if counts is None:
-        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.where((F.col("n") > hot_floor(total)) & F.col(key).isNotNull()).select(F.col(key).alias("__hot"))
+    counts = (left.groupBy(key).agg(F.count(F.lit(1))) if counts is None else counts).toDF("__hot", "__rows")
+    hot = counts.where((F.col("__rows") > hot_floor(total)) & F.col("__hot").isNotNull()).select("__hot")
     hot_rows = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left_semi")
     cold_rows = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left_anti")
     hot_right = right.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left_semi")

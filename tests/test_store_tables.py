@@ -73,7 +73,12 @@ def test_filter_never_misses(spark):
 def test_skew_safe_join(spark, rows, how):
     left = spark.range(6000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 700).cast("string").alias("k"), "id").unionByName(spark.createDataFrame([(None, -1)], "k string, id bigint"))
     right = spark.range(0, 600, 2).select(F.col("id").cast("string").alias("k"), (F.col("id") * 10).alias("v"))
-    assert rows(M.skew_safe_join(left, right, "k", 6000, how)) == rows(left.join(right, "k", how))
+    want = rows(left.join(right, "k", how))
+    assert rows(M.skew_safe_join(left, right, "k", 6000, how)) == want
+    counts = left.groupBy("k").count()
+    assert rows(M.skew_safe_join(left, right, "k", 6000, how, counts)) == want
+    clash = M.skew_safe_join(left.withColumnRenamed("k", "n"), right.withColumnRenamed("k", "n"), "n", 6000, how)
+    assert rows(clash) == want
 
 
 REP = "algo int, hash binary, etag string, size bigint, at timestamp, extra string"

@@ -150,35 +150,62 @@ def _cdc_bytes(data: bytes, lo: int, avg: int, hi: int, below: int, from_avg: in
     return sizes + [n] if n else sizes
 
 
+def anchor_ends(data: bytes, anchor: bytes) -> list[int]:
+    """Ends of the anchor's matches by a matcher that, on a byte that breaks the match, starts again at that byte only. Cuts don't
+    touch the matcher, so its matches depend on the data alone; between first bytes the search jumps."""
+    out, k = [], len(anchor)
+    at = data.find(anchor[:1])
+    while at >= 0:
+        n = 1
+        while n < k and at + n < len(data) and data[at + n] == anchor[n]:
+            n += 1
+        if n == k:
+            out.append(at + k)
+        # the byte after a whole match, or the byte that broke it, is where the next match may begin
+        at = data.find(anchor[:1], at + n)
+    return out
+
+
 def anchored_cdc(data: bytes, lo: int, avg: int, hi: int, anchor: bytes = b"") -> list[tuple[int, str]]:
     """(size, reason) of the xor-shift chunker: reason anchor, max, roll or eof, in that priority.
 
-    roll = ((roll << 1) ^ byte) mod 2^24, cut where its low bits are 0. The anchor is matched by restarting at the byte that broke the
-    match, and a cut by roll or max doesn't reset it.
+    roll = ((roll << 1) ^ byte) mod 2^24 since the last cut; a block is cut where its low bits are 0. The low bits depend on as many
+    last bytes, so where ``lo`` is no less than that all candidates come from one vector pass; else bytes are walked.
     """
     lo, avg, hi = cdc_bounds(lo, avg, hi)
-    power = max(1, (avg - 1).bit_length())
-    mask = (1 << (power - 1)) - 1
-    roll = n = ai = 0
+    bits = max(1, (avg - 1).bit_length()) - 1
+    ends = np.array(anchor_ends(data, anchor) if anchor else [], np.int64)
+    if lo < bits:
+        return _anchored_bytes(data, lo, hi, (1 << bits) - 1, set(ends.tolist()))
+    v = np.frombuffer(data, np.uint8).astype(np.uint32)
+    h = np.zeros(len(v), np.uint32)
+    for k in range(min(bits, len(v))):
+        h[k:] ^= v[: len(v) - k] << np.uint32(k)
+    rolls = np.flatnonzero((h & np.uint32((1 << bits) - 1)) == 0) + 1
+    out, start, n = [], 0, len(data)
+    while start < n:
+        nearest = lambda x: int(x[i]) if (i := np.searchsorted(x, start + lo)) < len(x) else n + hi  # noqa: E731, B023
+        a, m, r = nearest(ends), start + hi, nearest(rolls)
+        end = min(a, m, r)
+        if end > n:
+            out.append((n - start, "eof"))
+            break
+        out.append((end - start, "anchor" if end == a else "max" if end == m else "roll"))
+        start = end
+    return out
+
+
+def _anchored_bytes(data: bytes, lo: int, hi: int, mask: int, ends: set[int]) -> list[tuple[int, str]]:
+    roll = n = 0
     out = []
-    for b in data:
+    for i, b in enumerate(data, 1):
         n += 1
         roll = ((roll << 1) ^ b) & 0xFFFFFF
-        hit = False
-        if anchor:
-            if b == anchor[ai]:
-                ai += 1
-                if ai == len(anchor):
-                    hit, ai = True, 0
-            else:
-                ai = 1 if b == anchor[0] else 0
-        why = "anchor" if hit and n >= lo else "max" if n >= hi else "roll" if n >= lo and roll & mask == 0 else None
+        why = "anchor" if i in ends and n >= lo else "max" if n >= hi else "roll" if n >= lo and roll & mask == 0 else None
         if why:
             out.append((n, why))
             n = roll = 0
-    if n:
-        out.append((n, "eof"))
-    return out
+    return [*out, (n, "eof")] if n else out
 
 
 def _per_object(df: DataFrame, key: str, data: str, cut, reason: bool = False) -> DataFrame:

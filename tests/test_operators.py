@@ -235,6 +235,32 @@ def test_cdc_resists_shifts():
     assert len(fixed(data) & fixed(moved)) / len(fixed(data)) < 0.1
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.binary(max_size=900).map(lambda b: bytes(x % 5 + 97 for x in b)), st.sampled_from([(16, 64, 200), (2, 64, 200), (8, 16, 30), (1, 1, 9), (3, 3, 3)]), st.sampled_from([b"", b"a", b"ab", b"aab", b"abab", b"aaa"]))
+def test_anchored_by_bytes(data, conf, anchor):
+    """Against the state machine walked byte by byte."""
+    lo, avg, hi = B.cdc_bounds(*conf)
+    mask = (1 << (max(1, (avg - 1).bit_length()) - 1)) - 1
+    roll = n = ai = 0
+    want = []
+    for b in data:
+        n += 1
+        roll = ((roll << 1) ^ b) & 0xFFFFFF
+        hit = False
+        if anchor:
+            if b == anchor[ai]:
+                ai += 1
+                if ai == len(anchor):
+                    hit, ai = True, 0
+            else:
+                ai = 1 if b == anchor[0] else 0
+        why = "anchor" if hit and n >= lo else "max" if n >= hi else "roll" if n >= lo and roll & mask == 0 else None
+        if why:
+            want.append((n, why))
+            n = roll = 0
+    assert B.anchored_cdc(data, *conf, anchor) == want + [(n, "eof")] * (n > 0)
+
+
 def test_anchored():
     d = b"AAAA" + b"A" * 3000 + b"endstream" + b"B" * 3000
     out = B.anchored_cdc(d, 256, 1024, 4096, b"endstream")

@@ -35,12 +35,19 @@ def p1_duplicate_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return duplicate_blocks(table(spark, sf, "cas_block"))
 
 
+def p1_corrected_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """(ingest_id, reported, duplicate_blocks, differs) of every ingest that reported; null reports differ, repeated reports count once."""
+    stats = table(spark, sf, "ingest_stats").where("ingest_id is not null").select("ingest_id", F.col("duplicate_blocks").alias("reported")).distinct()
+    j = stats.join(p1_duplicate_blocks(spark, sf), "ingest_id")
+    return j.select("ingest_id", "reported", "duplicate_blocks", (~F.col("reported").eqNullSafe(F.col("duplicate_blocks"))).alias("differs"))
+
+
 P1_SQL = f"""with s as (select ingest_id, min(batch_id) b, {I.sql_digest("digest")} d from cas_block where digest is not null and ingest_id is not null group by 1, 3),
 n as (select ingest_id, count(*) n, min(b) b from s group by 1),
 c as (select x.ingest_id ingest_a, y.ingest_id ingest_b, count(*) k from s x join s y on x.d = y.d and x.ingest_id < y.ingest_id group by 1, 2)
 select ingest_a, ingest_b from c join n p on p.ingest_id = ingest_a join n q on q.ingest_id = ingest_b where p.b <> q.b and 10 * k >= 7 * (p.n + q.n - k)"""
-P1_BLOCKS_SQL = f"""with b as (select ingest_id, block_index, min(batch_id) batch_id, min(arrived_at) arrived_at, min({I.sql_digest("digest")}) d from cas_block where ingest_id is not null group by 1, 2),
-r as (select *, row_number() over (partition by d order by batch_id, arrived_at, ingest_id, block_index) k from b)
+P1_BLOCKS_SQL = f"""with b as (select ingest_id, block_index, min(batch_id) batch_id, min({I.sql_digest("digest")}) d from cas_block where ingest_id is not null group by 1, 2),
+r as (select *, row_number() over (partition by d order by batch_id, ingest_id, block_index) k from b)
 select ingest_id, count(*) blocks, count(case when d is not null and k > 1 then 1 end) duplicate_blocks from r group by 1"""
 
 
@@ -124,6 +131,7 @@ def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_duplicate_blocks": p1_duplicate_blocks,
+    "p1_corrected_stats": p1_corrected_stats,
     "p3_found": p3_found,
     "p3_measured_error": p3_measured_error,
     "p5_found": p5_found,
@@ -137,4 +145,10 @@ QUERIES = {
     "p9_levels": p9_levels,
     "p9_profile": p9_profile,
 }
-SQL = {"p1_found": P1_SQL, "p1_duplicate_blocks": P1_BLOCKS_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL}
+SQL = {
+    "p1_found": P1_SQL,
+    "p1_duplicate_blocks": P1_BLOCKS_SQL,
+    "p1_corrected_stats": f"select s.ingest_id, s.reported, b.duplicate_blocks, s.reported is distinct from b.duplicate_blocks as differs from (select distinct ingest_id, duplicate_blocks reported from ingest_stats where ingest_id is not null) s join ({P1_BLOCKS_SQL}) b using (ingest_id)",
+    "p3_found": P3_SQL,
+    "p5_found": P5_SQL,
+}

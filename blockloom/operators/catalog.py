@@ -92,8 +92,8 @@ def natural_id(*parts: Column) -> Column:
 # ---- reading ----
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
     """A page with ``total``, the number of all rows (counted by aggregation, not in a one-partition window)."""
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return df.orderBy(*order).offset(max(0, offset)).limit(max(0, limit)).crossJoin(F.broadcast(total))  # the right side is one row
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return df.orderBy(*order).offset(max(0, offset)).limit(max(0, limit)).withColumn("total", total)
 
 
 def keyset_page(df: DataFrame, key: str, after: object | None, size: int) -> DataFrame:

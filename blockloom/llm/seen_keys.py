@@ -76,7 +76,7 @@ def error_report(verdicts: DataFrame) -> DataFrame:
     """(filter_said, truth, keys, records, share_of_keys): the disproved positives are the filter's measured error; a positive that
     the filter had rejected can't occur and would show as (no, known)."""
     g = verdicts.groupBy("maybe", "truly").agg(F.count(F.lit(1)).alias("keys"), F.sum("n_records").alias("records"))
-    total = verdicts.agg(F.count(F.lit(1)).alias("all_keys"))
-    return g.join(F.broadcast(total)).select(
-        F.when(F.col("maybe"), "maybe").otherwise("no").alias("filter_said"), F.when(F.col("truly"), "known").otherwise("new").alias("truth"), "keys", "records", (F.col("keys") / F.col("all_keys")).alias("share_of_keys")
+    total = verdicts.agg(F.count(F.lit(1))).scalar()
+    return g.select(
+        F.when(F.col("maybe"), "maybe").otherwise("no").alias("filter_said"), F.when(F.col("truly"), "known").otherwise("new").alias("truth"), "keys", "records", (F.col("keys") / total).alias("share_of_keys")
     )

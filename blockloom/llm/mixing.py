@@ -29,8 +29,7 @@ class _Lengths(dict):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        # a leading blank is added to any text; behind a character that never merges, a piece keeps its own blanks
-        self.limit = 1 << 20
+        self.limit = 1 << 18  # some tens of MB a worker; a full memory starts afresh
 
     def __missing__(self, piece: str) -> int:
         if len(self) > self.limit:

@@ -108,7 +108,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append("\n".join(map(" ".join, ss)))
                 ns.append(n)
         yield pa.record_batch([pa.array(["d"] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(ns, pa.int64())], ["kind", "doc_id", "text", "n"])
-        if len(words) > 1 << 20:
+        if len(words) > 1 << 18:
             yield flush()
     yield flush()
 

@@ -118,12 +118,7 @@ def fast_cdc(data: bytes, lo: int, avg: int, hi: int, gear: np.ndarray | None =
     n = len(data)
     if lo < from_avg.bit_length():
         return _cdc_bytes(data, lo, avg, hi, below, from_avg, g)
-    v = g[np.frombuffer(data, np.uint8)]
-    h = np.zeros(n, np.uint32)
-    for k in range(min(from_avg.bit_length(), n)):
-        h[k:] += v[: n - k] << np.uint32(k)
-    easy = np.flatnonzero((h & np.uint32(below)) == 0) + 1
-    hard = np.flatnonzero((h & np.uint32(from_avg)) == 0) + 1
+    easy, hard = _candidates(data, g, np.add, below, from_avg)
     sizes, start = [], 0
     while start < n:
         end = min(start + hi, n)
@@ -139,6 +134,31 @@ def fast_cdc(data: bytes, lo: int, avg: int, hi: int, gear: np.ndarray | None =
     return sizes
 
 
+def _candidates(data: bytes, table: np.ndarray, op: np.ufunc, few: int, many: int, step: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Ends at which the shift-and-``op`` hash has zeros under the mask ``few``, and under ``many``, which has all its bits.
+
+    The hash's low bits come from windows that double: 1, 2, 4 ... bytes up to the bits of the mask. Stretches of ``step`` bytes, each
+    with the bytes before it that still count, stay in the processor's cache.
+    """
+    bits = many.bit_length()
+    kind = np.uint16 if bits <= 16 else np.uint32
+    small, raw = table.astype(kind), np.frombuffer(data, np.uint8)
+    easy, hard = [], []
+    for at in range(0, len(raw), step):
+        lead = min(at, 32)
+        h = small[raw[at - lead : at + step]]
+        w = 1
+        while w < min(bits, len(h)):
+            op(h[w:], h[:-w] << kind(w), out=h[w:])
+            w *= 2
+        h = h[lead:]
+        e = np.flatnonzero((h & kind(few)) == 0)
+        hard.append(e[(h[e] & kind(many)) == 0] + (at + 1))
+        easy.append(e + (at + 1))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *easy]), np.concatenate([none, *hard])
+
+
 def _cdc_bytes(data: bytes, lo: int, avg: int, hi: int, below: int, from_avg: int, g: np.ndarray) -> list[int]:
     table, sizes, h, n = g.tolist(), [], 0, 0
     for b in data:
@@ -177,11 +197,8 @@ def anchored_cdc(data: bytes, lo: int, avg: int, hi: int, anchor: bytes = b"") -
     ends = np.array(anchor_ends(data, anchor) if anchor else [], np.int64)
     if lo < bits:
         return _anchored_bytes(data, lo, hi, (1 << bits) - 1, set(ends.tolist()))
-    v = np.frombuffer(data, np.uint8).astype(np.uint32)
-    h = np.zeros(len(v), np.uint32)
-    for k in range(min(bits, len(v))):
-        h[k:] ^= v[: len(v) - k] << np.uint32(k)
-    rolls = np.flatnonzero((h & np.uint32((1 << bits) - 1)) == 0) + 1
+    mask = (1 << bits) - 1
+    rolls = _candidates(data, np.arange(256), np.bitwise_xor, mask, mask)[1]
     out, start, n = [], 0, len(data)
     while start < n:
         nearest = lambda x: int(x[i]) if (i := np.searchsorted(x, start + lo)) < len(x) else n + hi  # noqa: E731, B023

@@ -481,3 +481,13 @@ def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(n)], "a int, b int")
     assert {r.root for r in G.connected_components(e).collect()} == {0}
     assert G.connected_components(e.limit(0)).count() == 0
+
+
+def test_candidates_across_stretches():
+    data = random.Random(8).randbytes(5000)
+    import numpy as np
+
+    for few, many in ((0x3F, 0xFF), (0x1FF, 0x3FF), (0x3FFF, 0x1FFFF)):
+        whole = B._candidates(data, B.gear_table(), np.add, few, many)
+        for step in (7, 64, 1000):
+            assert all((x == y).all() for x, y in zip(whole, B._candidates(data, B.gear_table(), np.add, few, many, step)))

@@ -1,17 +1,21 @@
 """Evaluation passages inside a training corpus, whole or in part, however they are dressed up.
 
 A document gives an item away when it holds at least ``MIN_WORDS`` consecutive words of the passage (or all of a shorter one) with at
-most one word in ten replaced, dropped or added. Any such part keeps a run of ``RUN`` consecutive words intact: m words with e edits
-leave at least (m - e) / (e + 1) in a row, which is least for 20 words with 2 edits. So the SimHash windows are RUN words wide: a
-window of that part has the very fingerprint of an item's window, and the search misses nothing. (A window as long as an item can't
-serve: SimHashes of an item and a third of it are as far apart as those of unrelated texts.)
+most one word in ten replaced, dropped or added, the first and the last ones included. A part of twice MIN_WORDS or more can be cut in
+two of which one has no more edits for its length, so parts of up to 39 words with 3 edits decide. Any of them keeps a run of ``RUN``
+consecutive words intact: m words with e edits leave at least (m - e) / (e + 1) in a row, which is least for 20 words with 2 edits.
+So the SimHash windows are RUN words wide: a window of that part has the very fingerprint of an item's window, and the search misses
+nothing. (A window as long as an item can't serve: SimHashes of an item and a third of it are as far apart as those of unrelated
+texts.) Only passages of 10 or 11 words with an edit in the middle (5 words in a row are left) and those of fewer than RUN words need
+less; they are searched by exact windows of 5 words and of the whole passage.
 
 One pass over the corpus, no shuffle, nothing of the corpus is gathered:
 
-1. screen: only documents with RUN tokens in a row that occur in some item, in any spelling of them, can hold such a part;
+1. screen: only documents with RUN tokens in a row (fewer if an item asks for it) that occur in some item, in any spelling of them, can
+   hold such a part;
 2. SimHash of every window of RUN words of the rest; multi-index Hamming search: within RADIUS = 3 bits at least one of four 16-bit
    blocks is equal, so four tables of blocks find every item window within the radius;
-3. weighted-shingle similarity of the window pair, then alignment of the whole passage around the hits.
+3. weighted-shingle similarity of the window pair, then alignment of the passage from the hits to both sides.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 
 MIN_WORDS, EDIT_SHARE = 20, 10
 RUN, RADIUS, BLOCKS = 6, 3, 4
+#: Edits that the longest part which must be looked at may have.
+EDITS = (2 * MIN_WORDS - 1) // EDIT_SHARE
 SIMILAR = 0.8
 #: Items searched for in one pass over the corpus; more take further passes.
 ITEMS_PER_PASS = 20_000
@@ -139,7 +145,7 @@ class Items:
         vocab = set(_BETWEEN.split())
         for item, passage in rows:
             w = tuple(words(passage or ""))
-            if len(w) >= RUN:
+            if w:
                 by_words.setdefault(w, []).append(item)
                 for raw in (passage or "").split():
                     for form in _spellings(raw):
@@ -151,6 +157,12 @@ class Items:
         self.passages = list(by_words)
         self.code = {w: k for k, w in enumerate(sorted({x for p in by_words for x in p}))}
         self.coded = [np.array([self.code[x] for x in p]) for p in self.passages]
+        self.short: dict[int, dict[tuple, list[tuple[int, int]]]] = {}  # by width: exact windows of passages in which RUN words in a row may be missing
+        for p, c in enumerate(self.coded):
+            width = _width(len(c))
+            for i in range(len(c) - width + 1 if width < RUN else 0):
+                self.short.setdefault(width, {}).setdefault(tuple(c[i : i + width].tolist()), []).append((p, i))
+        self.least = min([RUN, *self.short])
         held = np.bincount(np.concatenate([np.unique(c) for c in self.coded]) if self.coded else np.zeros(0, int), minlength=len(self.code) + 1)
         self.weight = np.log1p(len(self.coded) / np.maximum(1, held))  # words of few items weigh most
         rng = np.random.default_rng(11)
@@ -198,79 +210,84 @@ class Items:
     def leaks(self, text: str) -> list[int]:
         """The items that a text gives away."""
         get = self.flag.get
-        if b"1" * RUN not in b"".join([get(w, b"0") for w in _cheap(text)]):
+        if b"1" * self.least not in b"".join([get(w, b"0") for w in _cheap(text)]):
             return []
         unknown = len(self.code)
         code = np.array([self.code.get(w, unknown) for w in words(text)], dtype=np.int64)
-        if len(code) < RUN:
-            return []
+        found = self._short(code.tolist()) if self.short else set()
         x, y = self.near(self.prints(code))
-        out: list[int] = []
-        for p in np.unique(self.owner[y]):
+        for p in np.unique(self.owner[y]).tolist():
             mine = self.owner[y] == p
-            if self.holds(code, self.coded[p], x[mine], self.at[y[mine]], self.weight):
-                out += self.items[p]
-        return out
+            if p not in found and self.holds(code, self.coded[p], x[mine], self.at[y[mine]], self.weight):
+                found.add(p)
+        return [i for p in sorted(found) for i in self.items[p]]
+
+    def _short(self, code: list[int]) -> set[int]:
+        """The passages found from exact windows of fewer than RUN words."""
+        found: set[int] = set()
+        for width, windows in self.short.items():
+            for at in range(len(code) - width + 1):
+                for p, of in windows.get(tuple(code[at : at + width]), ()):
+                    if p not in found and _extends(code, self.coded[p].tolist(), at, of):
+                        found.add(p)
+        return found
 
     @staticmethod
     def holds(doc: np.ndarray, item: np.ndarray, at: np.ndarray, of: np.ndarray, weight: np.ndarray) -> bool:
         """Whether a part of ``doc`` around windows ``at`` aligns with enough consecutive words of ``item``."""
-        need, m = min(MIN_WORDS, len(item)), len(item)
-        slack = m // EDIT_SHARE + 1
         # similarity of the two shingles: the weight of the words they share by place against that of the item's shingle
         a, b = doc[at[:, None] + np.arange(RUN)], item[of[:, None] + np.arange(RUN)]
         good = (weight[b] * (a == b)).sum(axis=1) >= SIMILAR * weight[b].sum(axis=1)
-        starts = np.unique(at[good] - of[good])
-        groups = np.split(starts, np.flatnonzero(np.diff(starts) > 2 * slack) + 1) if len(starts) else []
-        for g in groups:
-            lo, hi = max(0, g[0] - slack), min(len(doc), g[-1] + m + slack)
-            part = doc[lo:hi]
-            # maximal runs of equal words on the diagonals of the group
-            i, j = np.nonzero(item[:, None] == part[None, :])
-            d = j - i + lo
-            keep = (d >= g[0] - slack) & (d <= g[-1] + slack)
-            i, j, d = i[keep], j[keep], d[keep]
-            o = np.lexsort((i, d))
-            i, j, d = i[o], j[o], d[o]
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 0) | (np.diff(i) != 1)])) if len(i) else np.zeros(0, int)
-            length = np.diff(np.concatenate([first, [len(i)]]))
-            runs = sorted(zip(i[first].tolist(), j[first].tolist(), length.tolist()))
-            if len(runs) > 60:
-                runs = [r for r in runs if r[2] > 1]
-            if _chain(runs, need):
-                return True
-        return False
-
-
-def _chain(runs: list[tuple[int, int, int]], need: int) -> bool:
-    """Whether runs of equal words in order cover ``need`` or more consecutive item words with one edit in ten at most."""
-    for s, (si, _, sl) in enumerate(runs):
-        if sl >= need:
-            return True
-        cost = {s: 0}
-        for q in range(s + 1, len(runs)):
-            qi, qj, ql = runs[q]
-            best = None
-            for p, c in cost.items():
-                pi, pj, pl = runs[p]
-                over = max(0, pi + pl - qi, pj + pl - qj)  # a run may begin inside the one before
-                if over < ql:
-                    e = c + max(qi + over - pi - pl, qj + over - pj - pl)
-                    if best is None or e < best:
-                        best = e
-            if best is not None:
-                cost[q] = best
-                span = qi + ql - si
-                if span >= need and best * EDIT_SHARE <= span:
-                    return True
-    return False
+        # equal windows lie in every part that counts; of windows that follow each other in both texts the first serves
+        good &= (a == b).all(axis=1)
+        o = np.lexsort((at[good], at[good] - of[good]))
+        at, of = at[good][o], of[good][o]
+        first = np.ones(len(at), bool)
+        first[1:] = (np.diff(at) != 1) | (np.diff(of) != 1)
+        words = item.tolist()
+        return any(_extends(doc, words, i, j) for i, j in zip(at[first].tolist(), of[first].tolist()))
+
+
+def _width(n: int) -> int:
+    """Words in a row that are left of a passage of n words with one edit in ten at most, wherever the edits are; RUN at most."""
+    edits = min(n, MIN_WORDS) // EDIT_SHARE
+    return min(RUN, -(-(n - edits) // (edits + 1)))
+
+
+def _extends(doc: list[int] | np.ndarray, item: list[int], at: int, of: int) -> bool:
+    """Whether equal words at ``at`` and ``of`` lie in a part of MIN_WORDS or more consecutive item words (or all) with one edit in ten at most."""
+    need, far = min(MIN_WORDS, len(item)), len(item) + EDITS
+    left = _reach(item[:of][::-1], list(doc[max(0, at - far) : at])[::-1])
+    right = _reach(item[of:], list(doc[at : at + far]))
+    return any(n + k >= need and (e + f) * EDIT_SHARE <= n + k for e, n in enumerate(left) for f, k in enumerate(right))
+
+
+def _reach(item: list[int], doc: list[int]) -> list[int]:
+    """For 0 to EDITS edits, to which item word at most the two agree from their start, by the furthest point on each diagonal."""
+
+    def slide(i: int, d: int) -> int:
+        while i < len(item) and i + d < len(doc) and item[i] == doc[i + d]:
+            i += 1
+        return i
+
+    reached = {0: slide(0, 0)}
+    out = [reached[0]]
+    for _ in range(EDITS):
+        step: dict[int, int] = {}
+        for d, i in reached.items():
+            for to, k in ((d, i + 1), (d - 1, i + 1), (d + 1, i)):  # replaced, dropped, added
+                if k <= len(item) and k + to <= len(doc):
+                    step[to] = max(k, step.get(to, 0))
+        reached = {d: slide(i, d) for d, i in step.items()}
+        out.append(max([out[-1], *reached.values()]))
+    return out
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
     """(doc_id, item_id) of every document that gives an item away.
 
     ``items`` is a bounded set of queries: it is read in blocks of ITEMS_PER_PASS and each block meets every document once. Null or
-    empty texts and passages of fewer than RUN words give nothing; items with equal passages all count; extra columns are ignored.
+    empty texts and passages without words give nothing; items with equal passages all count; extra columns are ignored.
     """
     from pyspark.sql.types import StructField, StructType
 

@@ -261,6 +261,55 @@ def test_one_word_in_ten(items, start, n, r):
     assert items.leaks(NOISE + " ".join(out) + " " + NOISE) == [1, 3]
 
 
+@pytest.mark.parametrize("place", [0, 1, 10, -2, -1])
+@pytest.mark.parametrize("edit", ["replaced", "dropped", "added"])
+def test_edits_at_the_edges(items, place, edit):
+    """Twenty words with an edit at an edge, and whole passages of 10 to 19 words with one anywhere."""
+    w = L.words(PASSAGE)
+
+    def edited(part, k):
+        k = range(len(part))[k]
+        return part[:k] + {"replaced": ["mystery"], "dropped": [], "added": [part[k], "mystery"]}[edit] + part[k + 1 :]
+
+    assert items.leaks(NOISE + " ".join(edited(w[7:27], place)) + " " + NOISE) == [1, 3]
+    for n in (10, 11, 12, 19):
+        for k in {min(place, n - 1), n // 2, (n - 1) // 2}:
+            assert L.Items([(5, " ".join(w[:n]))]).leaks(NOISE + " ".join(edited(w[:n], k)) + " " + NOISE) == [5]
+
+
+def test_passages_below_a_window():
+    its = L.Items([(n, " ".join(L.words(PASSAGE)[20 : 20 + n])) for n in range(1, 10)])
+    w = L.words(PASSAGE)[20:29]
+    for n in range(1, 10):
+        assert its.leaks(NOISE + " ".join(w[:n]) + " " + NOISE) == list(range(1, n + 1))
+    assert its.leaks(" ".join(w[:2])) == [1, 2] and its.leaks(" ".join([w[0], "mystery", *w[2:]])) == [1] and its.leaks(NOISE) == []
+
+
+def test_passages_of_many_equal_words():
+    """Over 60 runs of equal words, most of them of one word."""
+    r = random.Random(4)
+    w = [x for i in range(80) for x in (f"word{i}", r.choice(["and", "or"]))]
+    out = list(w)
+    for k in range(6, 150, 10):
+        out[k] = "mystery"
+    it = L.Items([(1, " ".join(w))])
+    assert it.leaks(NOISE + " ".join(out) + " " + NOISE) == [1]
+    # one edit between any two words of the item: long, but no part of it has one in ten at most
+    assert it.leaks(NOISE + " ".join(x for i, y in enumerate(w) for x in ([y, "mystery"] if i % 6 == 5 else [y]))) == []
+
+
+def test_edit_alignment_is_exact():
+    """The reach for each number of edits against a full table of edit distances."""
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        item, doc = (r.integers(0, 3, r.integers(0, 15)).tolist() for _ in range(2))
+        d = np.add.outer(np.arange(len(item) + 1), np.arange(len(doc) + 1))
+        for i in range(1, len(item) + 1):
+            for j in range(1, len(doc) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (item[i - 1] != doc[j - 1]))
+        assert L._reach(item, doc) == [max(i for i in range(len(item) + 1) if d[i].min() <= e) for e in range(L.EDITS + 1)]
+
+
 def test_search_is_complete():
     """Multi-index search against all pairs of fingerprints."""
     r = np.random.default_rng(3)

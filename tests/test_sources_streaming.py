@@ -1,10 +1,12 @@
 """Readers, the block folder, legacy catalogues and streaming state across restarts."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from blockloom.operators import store
+from blockloom.plans.streaming_queries import streaming_windows
 from blockloom.sources import tables as T
 from blockloom.streaming import ingest
 
@@ -69,3 +71,19 @@ def test_tee(spark, tmp_path):
 
 def test_merge_spans():
     assert ingest.merge_spans([(5, 9), (0, 3), (4, 4), (20, 21)]) == [(0, 9), (20, 21)]
+
+
+def test_windows_of_parts_in_any_order(spark, tmp_path):
+    """A part that is read long after later ones loses no row, however the table is split."""
+    days = [29, 30, 1, 28, 2, 15]
+    for k, d in enumerate(days):
+        rows = spark.createDataFrame([(f"2024-01-{d:02} 10:15:00", "view", 1.0), (f"2024-01-{d:02} 10:45:00", "view", 2.0)], "t string, event_type string, value double")
+        rows.select(F.col("t").cast("timestamp_ntz").alias("ts"), "event_type", "value").coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+    (tmp_path / "sf" / "events.parquet").mkdir(parents=True)
+    for k in range(len(days)):
+        (part,) = (tmp_path / f"p{k}").glob("part-*.parquet")
+        to = tmp_path / "sf" / "events.parquet" / f"part-{k}.parquet"
+        part.rename(to)
+        os.utime(to, (1_700_000_000 + 60 * k,) * 2)
+    got = {(r.window_start.day, r.window_start.hour): r.n for r in streaming_windows(spark, str(tmp_path / "sf")).collect()}
+    assert got == {(d, 10): 2 for d in days}

@@ -201,16 +201,30 @@ def overlapping_spans(spans: DataFrame, key: Sequence[str], width: int = 1 << 22
 
 
 def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """(child, root, depth) by a recursive query: each child with the last element of its chain of parents. Cycles end at depth 64."""
-    edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct().createOrReplaceTempView("__blockloom_edges")
-    df = edges.sparkSession.sql(
-        """with recursive up(c, p, depth) as (
-             select c, p, 1 from __blockloom_edges
-             union all
-             select up.c, e.p, up.depth + 1 from up join __blockloom_edges e on up.p = e.c where up.depth < 64)
-           select c, max_by(p, depth) root, max(depth) depth from up group by c"""
-    )
-    return df.select(F.col("c").alias(child), "root", "depth")
+    """(child, root, depth): each child with the last element of its chain of parents, the longest where a child has several parents (of
+    equally long ones the largest root). A chain that runs into a cycle has no last element: its root and depth are null.
+
+    Pointer doubling on written tables: the pairs 2^k steps apart give those 2^(k+1) apart until there are none, then each child goes up
+    by the largest steps that it can. The number of rounds grows with the logarithm of the longest chain; a walk of more steps than
+    there are children has met one of them twice.
+    """
+    from blockloom.workspace import written
+
+    jumps = [written(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct(), "jumps")]
+    children = jumps[0].select("c").distinct().count()
+    up = lambda d, j: d.join(j.select(F.col("c").alias("p"), F.col("p").alias("q")), "p")
+    while more := jumps[-1].limit(1).count():
+        if 1 << (len(jumps) - 1) > children:
+            break
+        jumps.append(written(up(jumps[-1], jumps[-1]).select("c", F.col("q").alias("p")).distinct(), "jumps"))
+    endless = (jumps[-1] if more else jumps[-1].limit(0)).select(F.col("c").alias("e")).distinct()
+    at = jumps[0].withColumn("depth", F.lit(1).cast("bigint")).join(endless, F.col("c").eqNullSafe(F.col("e")), "left_anti")
+    for k in range(len(jumps) - 2, -1, -1):
+        higher = up(at, jumps[k]).select("c", F.col("q").alias("p"), (F.col("depth") + (1 << k)).alias("depth")).distinct()
+        at = written(at.join(higher.select(F.col("c").alias("h")).distinct(), F.col("c").eqNullSafe(F.col("h")), "left_anti").unionByName(higher), "heights")
+    found = at.groupBy("c").agg(F.max("p").alias("root"), F.max("depth").cast("int").alias("depth"))
+    found = found.unionByName(endless.select(F.col("e").alias("c"), F.lit(None).cast(edges.schema[parent].dataType).alias("root"), F.lit(None).cast("int").alias("depth")))
+    return found.select(F.col("c").alias(child), "root", "depth")
 
 
 # ---- schemas and constraints ----

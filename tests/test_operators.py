@@ -491,3 +491,15 @@ def test_candidates_across_stretches():
         whole = B._candidates(data, B.gear_table(), np.add, few, many)
         for step in (7, 64, 1000):
             assert all((x == y).all() for x, y in zip(whole, B._candidates(data, B.gear_table(), np.add, few, many, step)))
+
+
+def test_ancestors_of_long_chains_and_cycles(spark, rows):
+    """A chain of 200, a tree, two parents of unequal chains, a null parent, and a cycle with a tail."""
+    edges = [(i, i + 1) for i in range(200)]
+    edges += [(1001, 1000), (1002, 1000), (1003, 1001), (1004, 1003), (1004, 1002)]
+    edges += [(2000, None), (2001, 2000), (3000, 3001), (3001, 3002), (3002, 3000), (3003, 3000), (3004, 3003), (4000, 4000)]
+    got = {r.child: (r.root, r.depth) for r in C.ancestors(spark.createDataFrame(edges, "child int, parent int")).collect()}
+    want = {i: (200, 200 - i) for i in range(200)}
+    want |= {1001: (1000, 1), 1002: (1000, 1), 1003: (1000, 2), 1004: (1000, 3), 2000: (None, 1), 2001: (None, 2)}
+    assert got == want | dict.fromkeys([3000, 3001, 3002, 3003, 3004, 4000], (None, None))
+    assert C.ancestors(spark.createDataFrame(edges[:0], "child int, parent int")).count() == 0

@@ -5,7 +5,8 @@ complexity: the median words of a sentence and the median over sentences of the
 make the level that of the text as a whole: a few hard sentences or an inserted passage don't move them.
 
 Only running text counts: fenced or indented code, tables, commands, records and log lines are left out, list marks, quote marks and
-line numbers are taken off. English is told by function words, whatever ``lang`` says. Steps: one pass writes the sentences and counts
+line numbers are taken off. A sentence that a hard wrap cut into lines is put together again: a line goes on with the next one where it has
+no final punctuation, that one begins in lower case and its first word wouldn't have fitted into the width of the paragraph. English is told by function words, whatever ``lang`` says. Steps: one pass writes the sentences and counts
 the words of all English documents; the vocabulary is ranked; one pass over the written sentences gives the measures; grades are
 calibrated per cell of the three measures in SQL and looked up in SQL.
 """
@@ -43,9 +44,38 @@ _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _TAG = re.compile(r"<[^<>\n]{0,300}>")
 _SKIP = ("|", "    ", "\t", "$ ", "{", "}")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|;\s")
+_END = re.compile(r"[.!?…:;][\"'”’)\]]*$")
+#: widths at which texts are wrapped; shorter lines are lists, longer ones aren't wrapped
+_WRAP = range(40, 121)
 _EDGE = ".,;:!?\"“”‘’()[]<>*_…`'«»„¿¡"
 
 
+def _unwrapped(lines: list[str]) -> list[str]:
+    """The lines, those that a hard wrap cut put together again; quote marks of the later ones are taken off."""
+    out: list[str] = []
+    end, width = 0, 0  # the paragraph's
+    before = ""
+    for k, line in enumerate(lines):
+        bare = line.lstrip("> ")
+        if before and bare[:1].islower() and not line.startswith(_SKIP) and not before.startswith(_SKIP) and not _END.search(before):
+            if k >= end:
+                end = k
+                while end < len(lines) and lines[end].strip("> \r"):
+                    end += 1
+                first = k - 1
+                while first and lines[first - 1].strip("> \r"):
+                    first -= 1
+                width = max(len(x.rstrip()) for x in lines[first:end])
+            head = bare.split(None, 1)[0]
+            if width in _WRAP and len(before) + 1 + len(head) > width and head.strip(_EDGE).isalpha():
+                out[-1] = f"{out[-1].rstrip()} {bare}"
+                before = line.rstrip()
+                continue
+        out.append(line)
+        before = line.rstrip()
+    return out
+
+
 def sentences(text: str) -> list[list[str]]:
     """The sentences of a text's running parts as lower-case words."""
     t = text
@@ -56,7 +86,7 @@ def sentences(text: str) -> list[list[str]]:
     if "&" in t:
         t = html.unescape(t)
     out: list[list[str]] = []
-    for line in t.split("\n"):
+    for line in _unwrapped(t.split("\n")):
         if not line or line.startswith(_SKIP):
             continue
         kept, n, odd = [], 0, 0

@@ -403,6 +403,24 @@ def test_running_text():
     ]
 
 
+@pytest.mark.parametrize("width", [60, 72, 100])
+@pytest.mark.parametrize("mark", ["", "> "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_wrapped_text_has_its_sentences(width, mark, end):
+    """Hard-wrapped prose gives the sentences of the same text on one line; short lines and list lines stay apart."""
+    import textwrap
+
+    one = "notwithstanding the obligations which the preceding section imposes upon the custodian of the archive, every determination concerning the retention of duplicated material shall be communicated to the depositor within a reasonable period"
+    text = " ".join(f"{x}, {one}." for x in ("Furthermore", "Consequently", "Nevertheless"))
+    wrapped = end.join(mark + x for x in textwrap.wrap(text, width, break_on_hyphens=False))
+    assert R.sentences(wrapped) == R.sentences(text) and len(R.sentences(text)) == 3
+    assert R.sentences(f"{wrapped}{end}{end}{wrapped}") == 2 * R.sentences(text)
+    listed = ["op_1: the server reads the whole file once a week without any stop", "op_2: the queue is full", "op_3: the last disk is ready for the next page of the list"]
+    assert R.sentences(end.join(listed)) == [x for y in listed for x in R.sentences(y)]
+    short = ["copy the file first", "close all of the pages", "then open the list"]
+    assert R.sentences(end.join(short)) == [x.split() for x in short]
+
+
 def test_levels_held_out(spark):
     """Grades of half the labelled documents against a calibration on the other half."""
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "level_labels"))

@@ -44,12 +44,17 @@ def release() -> None:
     while _MADE:
         spark, path = _MADE.pop()
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            drop(spark, path)
         except Exception:  # noqa: BLE001, S110 - the driver is ending; what can't be reached stays
             pass
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes a table of the shared folder, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage and is computed a single time."""
     spark = df.sparkSession

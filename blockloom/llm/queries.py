@@ -6,29 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions import identity as I
-from blockloom.llm.history_dedup import BatchHistory, block_rows, duplicate_blocks
+from blockloom.llm.history_dedup import BatchHistory, block_rows, by_batch, duplicate_blocks
 from blockloom.llm.leakage import leak_report, leaks
 from blockloom.llm.mixing import mix
 from blockloom.llm.packing import fill_report, pack
 from blockloom.llm.reading_level import levels, profile
 from blockloom.llm.seen_keys import SeenKeys, error_report
-from blockloom.workspace import table
+from blockloom.workspace import fresh_path, table
 
 # ---- p1: ingests that repeat an accepted one ----
-#: calls in which p1_found hands over the batches, in their order
-P1_CALLS = 3
+def _p1(spark: SparkSession, sf: str) -> BatchHistory:
+    """All batches, one after the other, each in a call of its own."""
+    path = fresh_path(spark, "batches")
+    history = BatchHistory(spark)
+    for b in by_batch(block_rows(table(spark, sf, "cas_block")), path):
+        rows = spark.read.schema("ingest_id bigint, f binary").parquet(f"{path}/batch_id={b}")
+        history.accept(rows.withColumn("batch_id", F.lit(b)))
+    return history
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = block_rows(table(spark, sf, "cas_block"))
-    ends = blocks.agg(F.min("batch_id"), F.max("batch_id")).first()
-    history = BatchHistory(spark)
-    lo, hi = (ends[0] or 0), (ends[1] or 0)
-    cuts = [lo + (hi - lo + 1) * i // P1_CALLS for i in range(P1_CALLS + 1)]
-    for a, b in zip(cuts, cuts[1:]):
-        if a < b:
-            history.accept(blocks.where((F.col("batch_id") >= a) & (F.col("batch_id") < b)))
-    return history.pairs()
+    return _p1(spark, sf).pairs()
+
+
+def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row an ingest: its class of equal ingests and how many of other batches repeat or nearly repeat it."""
+    return _p1(spark, sf).classes()
 
 
 def p1_duplicate_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,6 +49,9 @@ P1_SQL = f"""with s as (select ingest_id, min(batch_id) b, {I.sql_digest("digest
 n as (select ingest_id, count(*) n, min(b) b from s group by 1),
 c as (select x.ingest_id ingest_a, y.ingest_id ingest_b, count(*) k from s x join s y on x.d = y.d and x.ingest_id < y.ingest_id group by 1, 2)
 select ingest_a, ingest_b from c join n p on p.ingest_id = ingest_a join n q on q.ingest_id = ingest_b where p.b <> q.b and 10 * k >= 7 * (p.n + q.n - k)"""
+P1_CLASSES_SQL = f"""with p as ({P1_SQL}), l as (select i, count(*) k from (select ingest_a i from p union all select ingest_b from p) group by 1),
+e as (select ingest_id, min(batch_id) batch_id, list_sort(list(distinct {I.sql_digest("digest")})) s from cas_block where digest is not null and ingest_id is not null group by 1)
+select ingest_id, batch_id, min(ingest_id) over (partition by s) class_id, count(*) over (partition by s) members, coalesce(k, 0) links from e left join l on i = ingest_id"""
 P1_BLOCKS_SQL = f"""with b as (select ingest_id, block_index, min(batch_id) batch_id, min({I.sql_digest("digest")}) d from cas_block where ingest_id is not null group by 1, 2),
 r as (select *, row_number() over (partition by d order by batch_id, ingest_id, block_index) k from b)
 select ingest_id, count(*) blocks, count(case when d is not null and k > 1 then 1 end) duplicate_blocks from r group by 1"""
@@ -130,6 +136,7 @@ def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p1_duplicate_blocks": p1_duplicate_blocks,
     "p1_corrected_stats": p1_corrected_stats,
     "p3_found": p3_found,
@@ -147,6 +154,7 @@ QUERIES = {
 }
 SQL = {
     "p1_found": P1_SQL,
+    "p1_classes": P1_CLASSES_SQL,
     "p1_duplicate_blocks": P1_BLOCKS_SQL,
     "p1_corrected_stats": f"select s.ingest_id, s.reported, b.duplicate_blocks, s.reported is distinct from b.duplicate_blocks as differs from (select distinct ingest_id, duplicate_blocks reported from ingest_stats where ingest_id is not null) s join ({P1_BLOCKS_SQL}) b using (ingest_id)",
     "p3_found": P3_SQL,

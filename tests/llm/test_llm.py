@@ -88,6 +88,63 @@ def test_history_large_sets_in_parts(spark, monkeypatch):
     test_history_finds_all_pairs(spark, 5, 2)
 
 
+@pytest.mark.parametrize("seed,order", [(11, [3, 1, 6, 2, 5, 4]), (12, [6, 5, 4, 3, 2, 1])])
+def test_history_in_any_order_of_batches(spark, monkeypatch, seed, order):
+    """Also with merged runs and with every frequent fingerprint treated as one that very many classes hold."""
+    monkeypatch.setattr(H, "FAN", 2)
+    monkeypatch.setattr(H, "PAIRS_PART", 5)
+    monkeypatch.setattr(H, "hot_floor", lambda total: 5)
+    sets = ingests(seed)
+    df = spark.createDataFrame([(i, b, f.encode()) for i, b, s in sets for f in s], "ingest_id bigint, batch_id int, f binary")
+    h = H.BatchHistory(spark, n_words=1 << 12)
+    for b in order:
+        h.accept(df.where(F.col("batch_id") == b))
+    got = [tuple(r) for r in h.pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(sets)
+    assert max(len(r) for r in h.runs.values()) <= 3
+    equal = lambda s: [i for i, _, t in sets if s == t]
+    links = {i: sum(i in p for p in got) for i, _, _ in sets}
+    assert sorted(tuple(r) for r in h.classes().collect()) == sorted((i, b, min(equal(s)), len(equal(s)), links[i]) for i, b, s in sets)
+
+
+def test_history_two_orders_of_two_near_ingests(spark):
+    rows = [(1, 3, bytes([k])) for k in range(10)] + [(2, 5, bytes([k])) for k in range(9)]
+    df = spark.createDataFrame(rows, "ingest_id bigint, batch_id int, f binary")
+    for order in ([3, 5], [5, 3]):
+        h = H.BatchHistory(spark)
+        for b in order:
+            h.accept(df.where(F.col("batch_id") == b))
+        assert [tuple(r) for r in h.pairs().collect()] == [(1, 2)]
+
+
+def test_history_reads_what_a_call_needs(spark, monkeypatch):
+    """A call of new content reads nothing of the store, one with few known ingests reads few ranges, however long the history is."""
+    h, asked = H.BatchHistory(spark), []
+    ids = spark.range(20000)
+    data = ids.selectExpr("cast(floor(id / 20) as bigint) as ingest_id", "cast(floor(id / 4000) as int) as batch_id", "encode(cast(id as string), 'UTF-8') as f")
+    counts = [h.accept(data.where(F.col("batch_id") == b)) for b in range(5)]
+    assert all(c["ingests"] == 200 and c["fingerprints"] == 4000 and c["looked_up"] == c["ranges"] == 0 for c in counts)
+    read = h.read
+    monkeypatch.setattr(h, "read", lambda name, ranges=None: (asked.append((name, ranges)), read(name, ranges))[1])
+    again = data.where("ingest_id in (7, 950)").selectExpr("ingest_id + 100000 as ingest_id", "9 as batch_id", "f").where("f <> encode('141', 'UTF-8')")
+    c = h.accept(again.unionByName(ids.selectExpr("cast(floor(id / 20) as bigint) + 200000 as ingest_id", "9 as batch_id", "encode(concat('new', id), 'UTF-8') as f")))
+    store = [r for name, r in asked if name == "prints"]
+    assert len(store) == 1 and c["ranges"] == len(store[0]) <= 40 and c["looked_up"] <= 60
+    width = sum(hi - lo + 1 for lo, hi in store[0])
+    assert width < 0.01 * 2**64 and h.read("prints", store[0]).count() < 0.01 * 124000
+    assert {tuple(r) for r in h.pairs(since=5).collect()} == {(7, 100007), (950, 100950)}
+
+
+def test_ranges():
+    bits = lambda *s: sum(1 << i for i in s).to_bytes(4096, "little")
+    w = 1 << 49
+    assert H._ranges(None) == [] and H._ranges(bits()) == []
+    assert H._ranges(bits(0, 1, 5, 32767)) == [(-w, 2 * w - 1), (5 * w, 6 * w - 1)]
+    assert H._ranges(bits(16384)) == [(-(2**63), -(2**63) + w - 1)]
+    many = H._ranges(bits(*range(0, 30000, 7)))
+    assert len(many) == H.RANGES and all(any(lo <= (s - 32768 * (s >= 16384)) * w and ((s - 32768 * (s >= 16384)) + 1) * w - 1 <= hi for lo, hi in many) for s in range(0, 30000, 7))
+
+
 def test_history_reopened(spark, tmp_path):
     sets = ingests(8)
     df = spark.createDataFrame([(i, b, f.encode()) for i, b, s in sets for f in s], "ingest_id bigint, batch_id int, f binary")

@@ -20,8 +20,7 @@ def _p1(spark: SparkSession, sf: str) -> BatchHistory:
     path = fresh_path(spark, "batches")
     history = BatchHistory(spark)
     for b in by_batch(block_rows(table(spark, sf, "cas_block")), path):
-        rows = spark.read.schema("ingest_id bigint, f binary").parquet(f"{path}/batch_id={b}")
-        history.accept(rows.withColumn("batch_id", F.lit(b)))
+        history.accept(spark.read.schema("ingest_id bigint, f binary, batch_id int").option("basePath", path).parquet(f"{path}/batch_id={b}"))
     return history
 
 

@@ -229,10 +229,10 @@ def stream_whole_frames(spark, sf):
     return j.select("user_id", F.coalesce("frames", F.lit(0)).alias("frames"), F.coalesce(F.octet_length("left_over"), F.lit(0)).cast("bigint").alias("left_over"))
 
 
-@query("select request_id, case when regexp_full_match(request_id[1:4], '[0-9]+') then request_id[1:4]::bigint end as as_int, ('0x' || request_id[1:6])::bigint as as_hex from audit_record where request_id is not null")
+@query("select request_id, seq, case when regexp_full_match(request_id, '[0-9]+') then request_id::bigint end as as_int, seq as as_hex from audit_record where request_id is not null and seq >= 0")
 def stream_parse(spark, sf):
-    d = table(spark, sf, "audit_record").where("request_id is not null")
-    return d.select("request_id", D.parse_int(F.substring("request_id", 1, 4)).alias("as_int"), D.parse_hex_size(F.substring("request_id", 1, 6)).alias("as_hex"))
+    d = table(spark, sf, "audit_record").where("request_id is not null and seq >= 0")
+    return d.select("request_id", "seq", D.parse_int(F.col("request_id")).alias("as_int"), D.parse_hex_size(F.hex("seq")).alias("as_hex"))
 
 
 # ---- blocks of documents ----

@@ -30,15 +30,30 @@ def fixed_blocks(df: DataFrame, keys: Sequence[str], data: str, n: int) -> DataF
     return d.select(*keys, "block_index", start.alias("block_start"), (F.least(start + n, F.col("__n")) - 1).alias("block_end"), F.substring("__d", (start + 1).cast("int"), F.lit(n)).alias("block"))
 
 
-def rechunk(df: DataFrame, part: Sequence[str], order: Sequence[str], data: str, n: int) -> DataFrame:
-    """(part..., block_index, block): a stream of chunks re-blocked to exactly ``n`` bytes and a tail.
+def rechunk(df: DataFrame, part: Sequence[str], order: Sequence[str], data: str, n: int, segments: int = 64) -> DataFrame:
+    """(part..., block_index, block): a stream of chunks re-blocked to exactly ``n`` bytes and a tail. ``part`` names one column at
+    least, ``order`` is unique in a stream.
 
-    Each chunk is cut at the block bounds it crosses and a block is joined from its pieces, so no stream is gathered in one place.
+    Where a chunk begins is summed over the lengths alone, in ``segments`` parts of a stream at a time; the bytes stay where they are until
+    each chunk is cut at the block bounds it crosses, and a block is joined from its pieces. So no stream is gathered in one place.
     """
+    from blockloom.operators.transduce import running_sum
+
     n = clamp(n)
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     d = df.where(F.octet_length(data) > 0).select(*part, *order, F.col(data).alias("__d"), F.octet_length(data).cast("bigint").alias("__n"))
-    d = d.withColumn("__o", F.coalesce(F.sum("__n").over(w), F.lit(0)).cast("bigint"))
+    keys = [*part, *order]
+    # segments follow the order: equal widths of its first column if that is a number or time, one segment otherwise
+    first = dict(d.dtypes)[order[0]]
+    at = F.col(order[0]).cast("double") if first in ("tinyint", "smallint", "int", "bigint", "double", "float") else F.unix_micros(F.col(order[0]).cast("timestamp")).cast("double") if first in ("timestamp", "timestamp_ntz") else F.lit(0.0)
+    lengths = d.select(*keys, "__n", at.alias("__at"))
+    ends = lengths.groupBy(*part).agg(F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
+    ends = ends.select(*[F.col(k).alias(f"__p{i}") for i, k in enumerate(part)], "__lo", "__hi")
+    same = lambda left, right, cols, p: [left[k].eqNullSafe(right[f"{p}{i}"]) for i, k in enumerate(cols)]
+    lengths = lengths.join(ends, same(lengths, ends, part, "__p"))
+    seg = F.coalesce(F.floor(F.try_divide(F.col("__at") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * (segments - 1)), F.lit(0))
+    lengths = running_sum(lengths, part, order, {"__o": F.col("__n")}, seg)
+    starts = lengths.select(*[F.col(k).alias(f"__q{i}") for i, k in enumerate(keys)], (F.col("__o") - F.col("__n")).cast("bigint").alias("__o"))
+    d = d.join(starts, same(d, starts, keys, "__q")).select(*keys, "__d", "__n", "__o")
     d = d.withColumn("block_index", F.explode(F.sequence(F.floor(F.col("__o") / n), F.floor((F.col("__o") + F.col("__n") - 1) / n))))
     lo = F.greatest(F.col("block_index") * n, F.col("__o"))
     hi = F.least((F.col("block_index") + 1) * n, F.col("__o") + F.col("__n"))

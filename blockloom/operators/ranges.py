@@ -73,61 +73,63 @@ def _islands(d: DataFrame, keys: Cols) -> DataFrame:
     return d.groupBy(*keys, "__i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__i")
 
 
-def union(a: DataFrame, b: DataFrame, keys: Cols) -> DataFrame:
-    return normalize(a.select(*keys, "start", "end").unionByName(b.select(*keys, "start", "end")), keys)
+def union(a: DataFrame, b: DataFrame, keys: Cols, slice_width: int | None = None) -> DataFrame:
+    return normalize(a.select(*keys, "start", "end").unionByName(b.select(*keys, "start", "end")), keys, slice_width)
 
 
-def interval_join(a: DataFrame, b: DataFrame, keys: Cols, width: int) -> DataFrame:
-    """Pairs of overlapping spans of equal keys: (keys..., a_start, a_end, b_start, b_end).
-
-    Spans are put into bins of ``width``, joined on (keys, bin) and kept in the later of their first bins only, so a pair comes out
-    once and no nested loop is planned. Pick a width near the usual span length.
-    """
-    bins = lambda d, p: d.where("start <= end").select(
-        *keys, F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("__bin")
-    )
-    j = bins(a, "a").join(bins(b, "b"), [*keys, "__bin"])
-    first = F.floor(F.greatest("a_start", "b_start") / width)
-    ok = overlaps(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
-    return j.where(ok & (F.col("__bin") == first)).drop("__bin")
-
-
-def intersect(a: DataFrame, b: DataFrame, keys: Cols, width: int = 1024) -> DataFrame:
-    j = interval_join(normalize(a, keys), normalize(b, keys), keys, width)
-    return normalize(j.select(*keys, F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end")), keys)
-
-
-def difference(a: DataFrame, b: DataFrame, keys: Cols) -> DataFrame:
-    """Parts of ``a`` outside ``b``, by one sweep over the ends of both: no join, whatever the lengths of the spans."""
-    edge = lambda d, side: normalize(d, keys).select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("at"), F.lit(-1).alias("d")))).alias("x")).select(
+def _sweep(a: DataFrame, b: DataFrame, keys: Cols, slice_width: int | None) -> DataFrame:
+    """Every stretch (start, end) between two ends of spans, with how many spans of ``a`` and of ``b`` cover it: no join and no row per
+    unit or bin, whatever the lengths of the spans."""
+    edge = lambda d, side: normalize(d, keys, slice_width).select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("at"), F.lit(-1).alias("d")))).alias("x")).select(
         *keys, "x.at", F.when(F.lit(side == "a"), F.col("x.d")).otherwise(0).alias("da"), F.when(F.lit(side == "b"), F.col("x.d")).otherwise(0).alias("db")
     )
     e = edge(a, "a").unionByName(edge(b, "b")).groupBy(*keys, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
     w = Window.partitionBy(*keys).orderBy("at")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     e = e.withColumn("ina", F.sum("da").over(run)).withColumn("inb", F.sum("db").over(run)).withColumn("next", F.lead("at").over(w))
-    return normalize(e.where("ina > 0 and inb = 0").select(*keys, F.col("at").alias("start"), (F.col("next") - 1).alias("end")), keys)
+    return e.select(*keys, F.col("at").alias("start"), (F.col("next") - 1).alias("end"), "ina", "inb")
 
 
-def complement(df: DataFrame, universe: DataFrame, keys: Cols) -> DataFrame:
-    """``universe`` has (keys..., start, end); sets without any span keep their whole universe."""
-    return difference(universe, df, keys)
+def intersect(a: DataFrame, b: DataFrame, keys: Cols, slice_width: int | None = None) -> DataFrame:
+    return normalize(_sweep(a, b, keys, slice_width).where("ina > 0 and inb > 0").select(*keys, "start", "end"), keys, slice_width)
+
 
+def difference(a: DataFrame, b: DataFrame, keys: Cols, slice_width: int | None = None) -> DataFrame:
+    """Parts of ``a`` outside ``b``."""
+    return normalize(_sweep(a, b, keys, slice_width).where("ina > 0 and inb = 0").select(*keys, "start", "end"), keys, slice_width)
 
-def contains_values(df: DataFrame, values: DataFrame, keys: Cols, value: str, width: int = 1024) -> DataFrame:
-    """``values`` with ``contained``: whether the set of its keys holds the value."""
-    v = values.withColumn("__bin", F.floor(F.col(value) / width))
-    s = normalize(df, keys).withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    s = s.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__bin").alias("__b"), "start", "end")
-    on = (F.col("__bin") == F.col("__b")) & (F.col(value) >= F.col("start")) & (F.col(value) <= F.col("end"))
-    for i, k in enumerate(keys):
-        on = on & (F.col(k) == F.col(f"__k{i}"))
-    # normalised spans are disjoint: at most one matches
-    return v.join(s, on, "left").withColumn("contained", F.col("start").isNotNull()).select(*values.columns, "contained")
+
+def complement(df: DataFrame, universe: DataFrame, keys: Cols, slice_width: int | None = None) -> DataFrame:
+    """``universe`` has (keys..., start, end); sets without any span keep their whole universe."""
+    return difference(universe, df, keys, slice_width)
 
 
-def covered_length(df: DataFrame, keys: Cols) -> DataFrame:
-    return normalize(df, keys).groupBy(*keys).agg(F.sum(F.col("end") - F.col("start") + 1).alias("covered"))
+def contains_values(df: DataFrame, values: DataFrame, keys: Cols, value: str, slice_width: int | None = None) -> DataFrame:
+    """``values`` with ``contained``: whether the set of its keys holds the value; a null value is in no set.
+
+    A value is in the set if the furthest end of the spans that begin at or before it isn't before it: one running maximum over spans
+    and values together. With ``slice_width`` the maximum runs within slices of the number line and the maxima of the slices before are
+    added, so a set with a third of all rows is worked on by many tasks.
+    """
+    at = F.struct("__at", "__kind")
+    spans = normalize(df, keys, slice_width).select(*keys, F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.col("end").alias("__end"), F.lit(None).cast(values.schema).alias("__row"))
+    rows = spans.unionByName(values.select(*keys, F.col(value).cast("bigint").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("bigint").alias("__end"), F.struct(*values.columns).alias("__row")))
+    rows = rows.withColumn("__sl", F.floor(F.col("__at") / slice_width) if slice_width else F.lit(0).cast("bigint"))
+    w = Window.partitionBy(*keys, "__sl").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    far = F.max("__end").over(w)
+    if slice_width:
+        before = Window.partitionBy(*keys).orderBy("__sl").rowsBetween(Window.unboundedPreceding, -1)
+        ends = rows.groupBy(*keys, "__sl").agg(F.max("__end").alias("__end")).withColumn("__before", F.max("__end").over(before))
+        ends = ends.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__sl"])], "__before")
+        rows = rows.withColumn("__far", far)
+        on = [rows[k].eqNullSafe(ends[f"__k{i}"]) for i, k in enumerate([*keys, "__sl"])]
+        rows, far = rows.join(ends, on), F.greatest("__far", "__before")
+    got = rows.withColumn("__far", far).where("__kind = 1")
+    return got.select(*[F.col(f"__row.`{c}`").alias(c) for c in values.columns], F.coalesce(F.col("__far") >= F.col("__at"), F.lit(False)).alias("contained"))
+
+
+def covered_length(df: DataFrame, keys: Cols, slice_width: int | None = None) -> DataFrame:
+    return normalize(df, keys, slice_width).groupBy(*keys).agg(F.sum(F.col("end") - F.col("start") + 1).alias("covered"))
 
 
 def missing_within(df: DataFrame, window: DataFrame, keys: Cols) -> DataFrame:

@@ -120,6 +120,41 @@ def verify_blobs(back: DataFrame, blob: str, expected: Column, algo: str = "sha-
     return back.select(blob, actual.alias("actual"), F.coalesce(actual == expected, F.lit(False)).alias("ok"))
 
 
+def verify_stored(manifest: DataFrame, blocks: DataFrame, blob: str, expected: DataFrame, algo: str = "sha-256", data: str = "block", key: str = "block_key") -> DataFrame:
+    """(blob, actual, ok) of the blobs of a manifest against ``expected`` (blob, expected), whatever their size: the blocks are hashed one
+    after the other in order, a blob is never put together. A missing block or another digest isn't ok."""
+    import hashlib
+
+    from blockloom.operators.transduce import fold_emit
+
+    new = {"sha-256": hashlib.sha256, "sha-1": hashlib.sha1}[algo]
+
+    def machine(rows):
+        h, whole = new(), True
+        for (d,) in rows:
+            if d is None:
+                whole = False
+            elif whole:
+                h.update(d)
+        yield (h.hexdigest() if whole else None,)
+
+    b = blocks.select(key, F.col(data).alias("__d")).dropDuplicates([key])
+    got = fold_emit(manifest.join(b, key, "left"), [blob], ["ordinal"], ["__d"], "actual string", machine)
+    return got.join(expected.select(blob, "expected"), blob, "left").select(blob, "actual", F.coalesce(F.col("actual") == F.col("expected"), F.lit(False)).alias("ok"))
+
+
+def read_rows(manifest: DataFrame, blocks: DataFrame, blob: str, data: str = "block", key: str = "block_key") -> DataFrame:
+    """(blob, ordinal, start, data): the blocks of each blob, each blob's in order within one partition, for blobs of any size; data is
+    null where a block is missing. Write it out or go through it with ``fold_emit``; :func:`read_back` joins blobs of below 1 GB."""
+    b = blocks.select(key, F.col(data).alias("data")).dropDuplicates([key])
+    return manifest.join(b, key, "left").select(blob, "ordinal", "start", "data").repartition(blob).sortWithinPartitions(blob, "ordinal")
+
+
+def verify_stream(df: DataFrame, part: Sequence[str], order: Sequence[str], data: str, n: int, keys: DataFrame) -> DataFrame:
+    """A stream of chunks against the block keys of its blob: re-blocked to ``n`` bytes, then as :func:`verify_blocks`."""
+    return verify_blocks(keyed_blocks(chunking.rechunk(df, part, order, data, n)), keys, part)
+
+
 def verify_blocks(blocks: DataFrame, keys: DataFrame, part: Sequence[str]) -> DataFrame:
     """(part..., block_index, result, expected, actual) by position: Passed, Failed, or Error for a block beyond the list.
     Listed blocks that don't come are not reported. ``keys`` has (part..., block_index, expected)."""

@@ -10,12 +10,21 @@ third of all rows is then summed in segments by many tasks and the segments' tot
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import itertools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 Cols = Sequence[str]
+#: Rows of an Arrow batch that a state machine gives out.
+OUT_ROWS = 4096
 
 
 def _order(order: Cols) -> list[Column]:
@@ -114,17 +123,18 @@ def ema(df: DataFrame, part: Cols, order: Cols, value: str, alpha: float, start:
 
 
 def ema_running(df: DataFrame, part: Cols, order: Cols, value: str, alpha: float, name: str = "ema") -> DataFrame:
-    """Every row with the moving average up to it, in closed form: alpha-weighted prefix sums would overflow, so the fold is kept as
-    the list of states of one stream."""
+    """Every row with the moving average up to it; rows without a value are left out. One pass over each sorted stream."""
     a = min(0.999, max(0.001, alpha))
-    g = df.where(F.col(value).isNotNull()).groupBy(*part).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__v")))).alias("__s"))
-    states = F.aggregate(
-        "__s",
-        F.array().cast("array<double>"),
-        lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x["__v"]).otherwise(F.element_at(acc, -1) * (1 - a) + x["__v"] * a))),
-    )
-    z = g.select(*part, F.explode(F.arrays_zip(F.col("__s").alias("s"), states.alias("e"))).alias("z"))
-    return z.select(*part, *[F.col(f"z.s.{o}").alias(o) for o in order], F.col("z.s.__v").alias(value), F.col("z.e").alias(name))
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def machine(rows):
+        state = None
+        for *at, v in rows:
+            state = float(v) if state is None else state * (1 - a) + float(v) * a
+            yield (*at, v, state)
+
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in [*order, value]), f"`{name}` double"])
+    return fold_emit(df.where(F.col(value).isNotNull()), part, order, [*order, value], schema, machine)
 
 
 def min_max(df: DataFrame, part: Cols, value: str) -> DataFrame:
@@ -179,12 +189,14 @@ def merge_structs(left: Column, right: Column, left_fields: Cols, right_fields:
 def window_annotate(df: DataFrame, part: Cols, order: Cols, data: str, window: int) -> DataFrame:
     """(.., byte_sum, window_total, flagged) per frame: rolling byte sums of the last ``window`` frames of an input batch; flagged when
     the frame's sum is even or it has a byte of 128 or more."""
-    hexed = F.hex(data)
-    byte_values = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(data), F.lit(1))), lambda i: F.coalesce(F.conv(F.substring(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint"), F.lit(0).cast("bigint")))
-    d = df.withColumn("__b", byte_values)
-    d = d.withColumn("byte_sum", F.aggregate("__b", F.lit(0).cast("bigint"), lambda a, x: a + x)).withColumn("__hi", F.exists("__b", lambda x: x >= 128))
+    @F.pandas_udf("s bigint, hi boolean")
+    def sums(frames: pd.Series) -> pd.DataFrame:
+        b = [np.frombuffer(x or b"", np.uint8) for x in frames]
+        return pd.DataFrame({"s": [int(x.sum(dtype=np.int64)) for x in b], "hi": [bool((x >= 128).any()) for x in b]})
+
+    d = df.withColumn("__b", sums(F.col(data).cast("binary"))).withColumn("byte_sum", F.col("__b.s"))
     w = Window.partitionBy(*part).orderBy(*_order(order)).rowsBetween(-(max(1, window) - 1), Window.currentRow)
-    return d.withColumn("window_total", F.sum("byte_sum").over(w)).withColumn("flagged", (F.col("byte_sum") % 2 == 0) | F.col("__hi")).drop("__b", "__hi")
+    return d.withColumn("window_total", F.sum("byte_sum").over(w)).withColumn("flagged", (F.col("byte_sum") % 2 == 0) | F.col("__b.hi")).drop("__b")
 
 
 def hash31(data: str) -> Column:
@@ -225,8 +237,9 @@ def telemetry_steps(df: DataFrame, part: Cols, order: Cols, data: str, max_bytes
     """One row per chunk: route, ordinal, running bytes and chunks, type hint from the first 16 bytes so far, halted."""
     d = ordinal(df, part, order, "__i").withColumn("__n", F.octet_length(data).cast("bigint"))
     w = upto(part, order)
-    # the first 16 non-empty prefixes of the stream are enough for 16 bytes; nth_value is null until its row is reached
-    head = F.concat_ws("", *[F.nth_value(F.hex(F.substring(F.col(data), 1, 16)), k).over(w) for k in range(1, 17)])
+    # the first 16 prefixes that aren't empty are enough for 16 bytes; nth_value is null until its row is reached
+    prefix = F.nullif(F.hex(F.substring(F.col(data), 1, 16)), F.lit(""))
+    head = F.concat_ws("", *[F.nth_value(prefix, k, ignoreNulls=True).over(w) for k in range(1, 17)])
     d = d.withColumn("bytes", F.sum("__n").over(w)).withColumn("__head", F.unhex(F.substring(head, 1, 32)))
     return d.select(
         *part,
@@ -241,10 +254,21 @@ def telemetry_steps(df: DataFrame, part: Cols, order: Cols, data: str, max_bytes
 
 
 def telemetry_final(df: DataFrame, part: Cols, order: Cols, data: str) -> DataFrame:
-    """One row per stream: bytes, chunks, type hint, SHA-256 of the whole."""
-    g = df.groupBy(*part).agg(F.sum(F.octet_length(data)).cast("bigint").alias("bytes"), F.count(F.lit(1)).alias("chunks"), F.array_sort(F.collect_list(F.struct(*order, F.col(data).alias("__d")))).alias("__c"))
-    whole = F.unhex(F.array_join(F.transform("__c", lambda x: F.hex(x["__d"])), ""))
-    return g.select(*part, "bytes", "chunks", sniff(whole).alias("mime_hint"), F.sha2(whole, 256).alias("sha256"))
+    """One row per stream: bytes, chunks, type hint, SHA-256 of the whole. Chunks pass one after the other; null ones have no bytes."""
+
+    def machine(rows):
+        h, n, chunks, head = hashlib.sha256(), 0, 0, b""
+        for (d,) in rows:
+            chunks += 1
+            if d:
+                h.update(d)
+                n += len(d)
+                head = (head + d[: 16 - len(head)]) if len(head) < 16 else head
+        yield n, chunks, head, h.hexdigest()
+
+    d = df.withColumn(data, F.col(data).cast("binary"))
+    g = fold_emit(d, part, order, [data], "bytes bigint, chunks bigint, head binary, sha256 string", machine)
+    return g.select(*part, "bytes", "chunks", sniff(F.col("head")).alias("mime_hint"), "sha256")
 
 
 def throughput(df: DataFrame, part: Cols, size: Column, at: str) -> DataFrame:
@@ -272,27 +296,34 @@ def fold(df: DataFrame, part: Cols, order: Cols, item: Column, init: Column, ste
 def fold_emit(df: DataFrame, part: Cols, order: Cols, cols: Cols, schema: str, machine) -> DataFrame:
     """Any state machine with outputs: ``machine(rows)`` gets an iterator over the rows of one stream, in order, as tuples of ``cols``
     and yields output tuples, the last ones after its input has ended (flush). ``schema`` names and types them; the part columns come
-    first. The slow path: one Python call per stream, for logic that columns can't say."""
-    import pandas as pd
-
+    first. Rows are read from sorted partitions an Arrow batch at a time, so a stream may be of any length; it is worked on by one task.
+    The slow path: Python per row, for logic that columns can't say."""
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    names = [x.split()[0].strip("`") for x in schema.split(",")]
-
-    def run(pdf):
-        pdf = pdf.sort_values(list(order), kind="stable")
-        out = pd.DataFrame(list(machine(pdf[list(cols)].itertuples(index=False, name=None))), columns=names)
-        for i, p in enumerate(part):
-            out.insert(i, p, [pdf[p].iloc[0]] * len(out))
-        return out
-
+    full = ", ".join([*(f"`{p}` {types[p]}" for p in part), schema])
     src = df.select(*dict.fromkeys([*part, *order, *cols]))
-    return src.groupBy(*part).applyInPandas(run, ", ".join([*(f"`{p}` {types[p]}" for p in part), schema]))
+    src = (src.repartition(*part) if part else src.repartition(1)).sortWithinPartitions(*part, *_order(order))
+    arrow = to_arrow_schema(StructType.fromDDL(full))
+    n, at = len(part), [src.columns.index(c) for c in cols]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        out: list[tuple] = []
+        batch = lambda: pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+        for key, stream in itertools.groupby(rows, lambda r: r[:n]):
+            for o in machine(tuple(r[i] for i in at) for r in stream):
+                out.append((*key, *o))
+                if len(out) >= OUT_ROWS:
+                    yield batch()
+                    out.clear()
+        if out:
+            yield batch()
+
+    return src.mapInArrow(run, full)
 
 
 def hash_stream(df: DataFrame, part: Cols, order: Cols, data: str) -> DataFrame:
-    """(part..., digest, hashed_bytes): SHA-256 of each whole stream. Chunk by chunk in Python, so the bytes of a stream are never
-    joined into one value; empty streams hash no bytes."""
-    import hashlib
+    """(part..., digest, hashed_bytes): SHA-256 of each whole stream, chunk by chunk: its bytes are never joined into one value; empty
+    streams hash no bytes."""
 
     def machine(rows):
         h, n = hashlib.sha256(), 0

@@ -159,7 +159,7 @@ _A, _B = _NORM.format(s=_SPAN), _NORM.format(s=_ENTRY)
 
 @query(f"select k, st as start, en as end from {_NORM.format(s=f'select a.k, greatest(a.st, b.st) st, least(a.en, b.en) en from {_A} a join {_B} b on a.k = b.k and a.st <= b.en and b.st <= a.en')}")
 def range_intersect(spark, sf):
-    return R.intersect(_spans(spark, sf), _entries(spark, sf), ["k"], width=1 << 22)
+    return R.intersect(_spans(spark, sf), _entries(spark, sf), ["k"], slice_width=1 << 28)
 
 
 _DIFF = "(with a as (select * from {a}), b as (select * from {b}), e as (select k, st pos, 1 da, 0 db from a union all select k, en + 1, -1, 0 from a union all select k, st, 0, 1 from b union all select k, en + 1, 0, -1 from b), g as (select k, pos, sum(da) da, sum(db) db from e group by 1, 2), r as (select k, pos, sum(da) over (partition by k order by pos) ina, sum(db) over (partition by k order by pos) inb, lead(pos) over (partition by k order by pos) nx from g) select k, pos st, nx - 1 en from r where ina > 0 and inb = 0)"
@@ -186,7 +186,7 @@ def range_complement(spark, sf):
 def range_contains(spark, sf):
     u = _universe(spark, sf)
     v = u.select("k", F.explode(F.array(F.col("start"), F.floor((F.col("end") - F.col("start")) / 2), F.col("end"))).alias("v")).distinct()
-    return R.contains_values(_spans(spark, sf), v, ["k"], "v", width=1 << 22)
+    return R.contains_values(_spans(spark, sf), v, ["k"], "v", slice_width=1 << 26)
 
 
 @query(f"select k, sum(en - st + 1)::bigint as covered from {_A} group by 1")
@@ -299,8 +299,8 @@ def store_read_back(spark, sf):
 @query("select doc_id, sha256(text) as actual, true as ok from documents where text <> ''")
 def store_verify(spark, sf):
     b, m = _ingested(spark, sf)
-    want = table(spark, sf, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("want"))
-    return store.verify_blobs(store.read_back(m, b, "doc_id").join(want, "doc_id"), "doc_id", F.col("want")).select("doc_id", "actual", "ok")
+    want = table(spark, sf, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("expected"))
+    return store.verify_stored(m, b, "doc_id", want)
 
 
 @query(f"select doc_id, block_index, case when doc_id % 5 = 0 and block_index >= 8 then 'Error' when block_index % 5 = 4 then 'Failed' else 'Passed' end as result from {B256}")

@@ -68,8 +68,15 @@ class BlobStore:
         keys.select("blob_key").distinct().withColumn("deleted_at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/deleted")
 
     def verify(self, keys: DataFrame) -> DataFrame:
-        """(blob_key, actual, ok): read again, hashed again."""
-        return store.verify_blobs(self.get(keys), "blob_key", F.split("blob_key", ":")[1])
+        """(blob_key, actual, ok): read again, hashed again, block by block."""
+        m = self.manifests().join(keys.select("blob_key").distinct(), "blob_key", "left_semi")
+        expected = m.select("blob_key").distinct().withColumn("expected", F.split("blob_key", ":")[1])
+        return store.verify_stored(m, self.folder.get(m), "blob_key", expected)
+
+    def read(self, keys: DataFrame) -> DataFrame:
+        """(blob_key, ordinal, start, data): the blocks of the keys that exist, in order; for blobs of any size."""
+        m = self.manifests().join(keys.select("blob_key").distinct(), "blob_key", "left_semi")
+        return store.read_rows(m, self.folder.get(m), "blob_key")
 
     def stats(self) -> DataFrame:
         m = self.manifests().select("block_key", (F.col("end") - F.col("start") + 1).alias("size"))

@@ -394,7 +394,8 @@ def test_leaks_frame(spark, monkeypatch):
 
 # ---- p8 ----
 def test_token_counts_are_exact():
-    n = X._Lengths(X.TOKENIZER)
+    with open(X.TOKENIZER, "rb") as f:
+        n = X._Lengths(f.read())
     for t in ("a", "a b", " a  b ", "x\ny\tz", "Grüße, 東京 ✓", "  ", "▁ ▁▁", "word " * 50 + "end", "1,234.5 e.g. (x)"):
         assert X.count_tokens(t, n) == len(n.sp.encode(t)), t
 
@@ -442,6 +443,21 @@ def test_mix_is_pareto(spark):
     assert {r.doc_id for r in drawn.collect()} == want
 
 
+def test_mix_sorts_little(spark, monkeypatch):
+    """The source that binds the total isn't ranked at all; of the others only a bin of a bin is sorted, and how many bins there are
+    doesn't change what is drawn."""
+    docs, targets = mix_input(spark, 2000)
+    seen, written = {}, X.written
+    monkeypatch.setattr(X, "written", lambda df, name: seen.setdefault(name, written(df, name)))
+    drawn = sorted(map(tuple, X.mix(docs, targets)[0].collect()))
+    ranked = seen["ranked"].where("odds > 0").groupBy("source", "bin", "bin2").count().collect()
+    assert len({r.source for r in ranked}) == 2  # three sources have texts, one binds
+    assert max(r["count"] for r in ranked) <= 3  # certain texts (odds 0) lie below any cut
+    seen.clear()
+    monkeypatch.setattr(X, "BINS", 4)
+    assert sorted(map(tuple, X.mix(docs, targets)[0].collect())) == drawn
+
+
 def test_mix_empty(spark):
     docs, targets = mix_input(spark, 50)
     d, r = X.mix(docs.limit(0), targets)

@@ -215,14 +215,17 @@ class _Bits:
 
 
 class _BitReader:
+    """Reads only the bytes it is asked for, so a frame's cost is its own size whatever follows it in the buffer."""
+
     def __init__(self, data: bytes, at: int = 0):
-        self.value, self.total, self.at = int.from_bytes(data, "big"), 8 * len(data), at
+        self.data, self.total, self.at = memoryview(data), 8 * len(data), at
 
     def get(self, bits: int) -> int:
         if self.at + bits > self.total:
             raise NeedMore(f"needs {self.at + bits - self.total} more bits")
+        first, end = self.at // 8, -(-(self.at + bits) // 8)
         self.at += bits
-        return (self.value >> (self.total - self.at)) & ((1 << bits) - 1)
+        return (int.from_bytes(self.data[first:end], "big") >> (8 * end - self.at)) & ((1 << bits) - 1)
 
     def get_bytes(self, n: int) -> bytes:
         return self.get(8 * n).to_bytes(n, "big") if n else b""
@@ -359,31 +362,31 @@ def http_chunks(data: bytes) -> list[bytes]:
     while True:
         eol = data.find(b"\r\n", at)
         if eol < 0:
-            raise CodecError("Unexpected EOF while reading chunk size")
+            raise CodecError("the body ends before the line of a chunk's size")
         line = data[at:eol].split(b";", 1)[0].replace(b"\r", b"").replace(b"\n", b"").decode("ascii", "replace").strip()
         try:
             size = int(line, 16) if "_" not in line else -1
         except ValueError:
             size = -1
         if size < 0:
-            raise CodecError(f"Invalid chunk-size line: '{line}'")
+            raise CodecError(f"no chunk size: {line!r}")
         at = eol + 2
         if size == 0:
             while True:
                 eol = data.find(b"\r\n", at)
                 if eol < 0:
-                    raise CodecError("Unexpected EOF while reading chunk trailers")
+                    raise CodecError("the body ends before the empty line after its trailers")
                 if eol == at:
                     return out
                 at = eol + 2
         if at + size > n:
-            raise CodecError("Unexpected EOF inside chunk body")
+            raise CodecError("the body ends inside a chunk")
         body, at = data[at : at + size], at + size
         for char, name in ((b"\r", "CR"), (b"\n", "LF")):
             if at >= n:
-                raise CodecError("Unexpected EOF after chunk body")
+                raise CodecError("the body ends before a chunk's line end")
             if data[at : at + 1] != char:
-                raise CodecError(f"Missing {name} after chunk body")
+                raise CodecError(f"no {name} behind a chunk")
             at += 1
         out.append(body)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockloom.functions.checks import parse_check  # noqa: F401 - part of the catalog's interface
+
 
 # ---- locations and read plans ----
 def active_locations(locations: DataFrame, sectors: DataFrame, stores: DataFrame) -> DataFrame:
@@ -264,87 +265,6 @@ def describe(df: DataFrame, table: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "table_name string, ordinal int, column_name string, type string, nullable boolean")
 
 
-_OPS = {">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, "<>": lambda c, v: c != v, "!=": lambda c, v: c != v, "=": lambda c, v: c == v, ">": lambda c, v: c > v, "<": lambda c, v: c < v}
-
-
-def _strip(e: str) -> str:
-    e = e.strip()
-    while e.startswith("(") and e.endswith(")"):
-        depth = 0
-        for i, ch in enumerate(e):
-            depth += (ch == "(") - (ch == ")")
-            if depth == 0 and i < len(e) - 1:
-                return e
-        e = e[1:-1].strip()
-    return e
-
-
-def _literal(text: str) -> object:
-    t = re.sub(r"::[\w .\[\]\"]+$", "", _strip(text)).strip()
-    if t.startswith("'") and t.endswith("'"):
-        return t[1:-1].replace("''", "'")
-    if t.lower() in ("true", "false"):
-        return t.lower() == "true"
-    try:
-        return float(t) if "." in t else int(t)
-    except ValueError:
-        raise ValueError(f"unsupported literal {text!r}") from None
-
-
-def _top_split(e: str, word: str) -> list[str]:
-    parts, depth, at, quoted, i = [], 0, 0, False, 0
-    pat = re.compile(rf"\b{word}\b" if word.isalpha() else re.escape(word), re.I)
-    while i < len(e):
-        ch = e[i]
-        if ch == "'":
-            quoted = not quoted
-        elif not quoted:
-            depth += (ch == "(") - (ch == ")")
-            m = pat.match(e, i) if depth == 0 else None
-            if m and not (word == "AND" and re.search(r"\bBETWEEN\s+\S+\s*$", e[at:i], re.I)):
-                parts.append(e[at:i])
-                at = i = m.end()
-                continue
-        i += 1
-    return [*parts, e[at:]]
-
-
-def parse_check(definition: str, column: str) -> Column:
-    """A CHECK definition on one column as a condition: comparison, BETWEEN, length(col) op n, [NOT] IN, IS [NOT] NULL, and AND of a
-    lower and an upper bound. Anything else raises ValueError. As in SQL, null passes all but IS NOT NULL."""
-    e = _strip(re.sub(r"^\s*CHECK\s*", "", definition.strip(), flags=re.I))
-    if not e:
-        raise ValueError("empty check")
-    parts = [_strip(p) for p in _top_split(e, "AND")]
-    if len(parts) > 2:
-        raise ValueError(f"unsupported check {definition!r}")
-    if len(parts) == 2:
-        ops = [re.search(r">=|<=|>|<", p) for p in parts]
-        if not all(ops) or {o.group(0)[0] for o in ops} != {">", "<"}:
-            raise ValueError(f"unsupported check {definition!r}")
-        return _single(parts[0], column) & _single(parts[1], column)
-    return _single(parts[0], column)
-
-
-def _single(e: str, column: str) -> Column:
-    c = F.col(column)
-    name = rf"\(?\s*\"?{re.escape(column)}\"?\s*\)?(?:::[\w ]+)?"
-    passes = lambda x: F.coalesce(x, F.lit(True))
-    if m := re.fullmatch(rf"{name}\s+IS\s+(NOT\s+)?NULL", e, re.I):
-        return c.isNotNull() if m[1] else c.isNull()
-    if m := re.fullmatch(rf"{name}\s+BETWEEN\s+(.+?)\s+AND\s+(.+)", e, re.I):
-        return passes(c.between(F.lit(_literal(m[1])), F.lit(_literal(m[2]))))
-    if m := re.fullmatch(rf"{name}\s+(NOT\s+)?IN\s*\((.+)\)", e, re.I):
-        inside = c.isin([_literal(v) for v in _top_split(m[2], ",")])
-        return passes(~inside if m[1] else inside)
-    if m := re.fullmatch(rf"(?:char_length|length|octet_length)\s*\(\s*{name}\s*\)\s*(>=|<=|=|>|<)\s*(\d+)", e, re.I):
-        n = F.length(c) if "octet" not in e.lower() else F.octet_length(c)
-        return passes(_OPS[m[1]](n, F.lit(int(m[2]))))
-    if m := re.fullmatch(rf"{name}\s*(>=|<=|<>|!=|=|>|<)\s*(.+)", e, re.I):
-        return passes(_OPS[m[1]](c, F.lit(_literal(m[2]))))
-    raise ValueError(f"unsupported check {e!r} for {column}")
-
-
 # ---- jobs, ids, partitions ----
 def runnable_jobs(jobs: DataFrame, now: Column, limit: int) -> DataFrame:
     """Queued jobs that are due and not leased, oldest first: what a worker may claim."""

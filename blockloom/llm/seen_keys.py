@@ -2,35 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from blockloom.llm.runs import ranges_of, slices_used, sorted_run, within
 from blockloom.operators.membership import mask_of, skew_safe_join, word_of, words_for
 from blockloom.workspace import fresh_path, written
 
 
 class SeenKeys:
-    """All keys accepted so far: full keys on disk, and their Bloom filter as a word table beside them."""
+    """All keys accepted so far: full keys on disk, sorted by hash, and their Bloom filter as a word table beside them."""
 
     def __init__(self, spark: SparkSession, known: DataFrame, path: str | None = None, n_words: int | None = None):
         """``known``: one column ``key``; nulls and repeats are ignored, an empty history is fine. ``n_words`` bounds the filter."""
         self.spark, self.path = spark, path or fresh_path(spark, "seen")
-        known.where("key is not null").distinct().write.parquet(f"{self.path}/keys")
-        self.keys = spark.read.schema("key string").parquet(f"{self.path}/keys")
-        self.n_words = n_words or words_for(self.keys.count())
-        filt = self.keys.select(word_of(F.col("key"), self.n_words).alias("word"), mask_of(F.col("key")).alias("mask"))
-        filt.groupBy("word").agg(F.bit_or("mask").alias("bits")).write.parquet(f"{self.path}/filter")
-        self.filter = spark.read.parquet(f"{self.path}/filter")
+        known = written(known.where("key is not null").select("key").distinct(), "known")
+        self.stored = known.count()
+        #: the ranges of the stored keys that the last check's lookups read
+        self.asked: list[list[tuple[int, int]]] = []
+        self.n_words = n_words or words_for(self.stored)
+        self._append(known, self.stored)
+
+    def _append(self, new: DataFrame, rows: int) -> None:
+        """Appends keys that aren't there yet: a run sorted by hash, and their filter words."""
+        sorted_run(new.select(F.xxhash64("key").alias("h"), "key"), rows).write.mode("append").parquet(f"{self.path}/keys")
+        filt = new.select(word_of(F.col("key"), self.n_words).alias("word"), mask_of(F.col("key")).alias("mask"))
+        filt.groupBy("word").agg(F.bit_or("mask").alias("bits")).write.mode("append").parquet(f"{self.path}/filter")
+        self.keys = self.spark.read.schema("h bigint, key string").parquet(f"{self.path}/keys")
+        self.filter = self.spark.read.schema("word bigint, bits bigint").parquet(f"{self.path}/filter").groupBy("word").agg(F.bit_or("bits").alias("bits"))
 
     def add(self, keys: DataFrame) -> None:
         """Takes the keys of a checked batch into the history: both tables are appended, nothing is rewritten. The filter's number of
         words stays, so choose ``n_words`` for the keys to come; a fuller filter only sends more keys to the exact lookup."""
-        new = written(keys.where("key is not null").select("key").distinct().join(self.keys, "key", "left_anti"), "new-keys")
-        filt = new.select(word_of(F.col("key"), self.n_words).alias("word"), mask_of(F.col("key")).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
-        filt.write.mode("append").parquet(f"{self.path}/filter")
-        new.write.mode("append").parquet(f"{self.path}/keys")
-        self.keys = self.spark.read.schema("key string").parquet(f"{self.path}/keys")
-        self.filter = self.spark.read.parquet(f"{self.path}/filter").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        new = keys.where("key is not null").select("key").distinct().join(self.keys.select("key"), "key", "left_anti")
+        new = written(new, "new-keys")
+        rows = new.count()
+        self.stored += rows
+        self._append(new, rows)
+
+    def _looked_up(self, keys: DataFrame, name: str) -> DataFrame:
+        """``keys`` (key, ...) with ``known``: only the ranges of the stored keys in which some of them lie are read."""
+        seen = Observation()
+        h = F.xxhash64("key")
+        keys.withColumn("h", h).observe(seen, slices_used(F.col("h")).alias("slices")).write.parquet(path := fresh_path(self.spark, name))
+        ranges = ranges_of(seen.get["slices"])
+        self.asked.append(ranges)
+        found = self.spark.read.schema(keys.withColumn("h", h).schema).parquet(path)
+        have = within(self.keys, ranges).select("h", "key", F.lit(True).alias("known"))
+        return found.join(have, ["h", "key"], "left").drop("h").withColumn("known", F.coalesce("known", F.lit(False)))
 
     def check(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(seen, verdicts) of a batch with columns ``record_id`` (order of arrival, unique) and ``key``.
@@ -43,18 +62,18 @@ class SeenKeys:
         the filter rejects and that one record holds is answered at once. Only other cells send their full key to the keys on
         disk. Cells in which two different keys of the batch meet are resolved by their full keys.
         """
+        self.asked = []
         rows = batch.where("key is not null").select("record_id", "key", word_of(F.col("key"), self.n_words).alias("word"), mask_of(F.col("key")).alias("mask"))
-        rows = written(rows.withColumn("cell", F.xxhash64("word", "mask")), "batch")
-        cells = rows.groupBy("word", "mask", "cell").agg(
+        rows = written(rows.withColumn("cell", F.struct("word", "mask")), "batch")
+        cells = rows.groupBy("cell").agg(
             F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first"), F.min("key").alias("key"), F.max("key").alias("other")
-        )
+        ).select("*", "cell.*")
         bits = self.filter.select("word", "bits")
         hit = F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
         cells = written(cells.join(bits, "word", "left").withColumn("maybe", hit).drop("bits"), "cells")
         single = cells.where("key = other")
-        known = self.keys.withColumn("known", F.lit(True))
-        single = written(single.where("maybe").join(known, "key", "left").unionByName(single.where("not maybe").withColumn("known", F.lit(None).cast("boolean"))), "verified")
-        single = single.withColumn("known", F.coalesce("known", F.lit(False)))
+        verified = self._looked_up(single.where("maybe"), "asked")
+        single = written(verified.unionByName(single.where("not maybe").withColumn("known", F.lit(False))), "verified")
         alone = single.where("n = 1 and known").select(F.col("first").alias("record_id"))
         # equal keys inside the batch: every record but the first, or all of them when the history has the key
         total = rows.count()
@@ -63,12 +82,12 @@ class SeenKeys:
         # different keys in one cell: by full key
         mixed = rows.join(cells.where("key <> other").select("cell"), "cell", "left_semi")
         firsts = mixed.groupBy("key").agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        firsts = written(firsts.join(known, "key", "left").withColumn("known", F.coalesce("known", F.lit(False))), "mixed")
+        firsts = written(self._looked_up(firsts, "mixed-asked"), "mixed")
         clash = skew_safe_join(mixed.select("key", "record_id"), firsts, "key", total).where("known or record_id > first").select("record_id")
         seen = alone.unionByName(repeats).unionByName(clash)
         truth = single.select("maybe", F.col("known").alias("truly"), F.col("n").alias("n_records"))
-        in_mixed = rows.select("key", "word", "mask").join(firsts.select("key", "known", "n"), "key").join(bits, "word", "left").select(hit.alias("maybe"), F.col("known").alias("truly"), "key").distinct()
-        in_mixed = in_mixed.join(firsts.select("key", F.col("n").alias("n_records")), "key").select("maybe", "truly", "n_records")
+        probed = firsts.withColumn("word", word_of(F.col("key"), self.n_words)).withColumn("mask", mask_of(F.col("key")))
+        in_mixed = probed.join(bits, "word", "left").select(hit.alias("maybe"), F.col("known").alias("truly"), F.col("n").alias("n_records"))
         return seen, truth.unionByName(in_mixed)
 
 

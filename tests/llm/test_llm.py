@@ -18,6 +18,7 @@ from blockloom.llm import mixing as X
 from blockloom.llm import packing as P
 from blockloom.llm import queries as Q
 from blockloom.llm import reading_level as R
+from blockloom.llm import runs as N
 from blockloom.llm import seen_keys as S
 
 SF = "sf0.001"
@@ -138,11 +139,11 @@ def test_history_reads_what_a_call_needs(spark, monkeypatch):
 def test_ranges():
     bits = lambda *s: sum(1 << i for i in s).to_bytes(4096, "little")
     w = 1 << 49
-    assert H._ranges(None) == [] and H._ranges(bits()) == []
-    assert H._ranges(bits(0, 1, 5, 32767)) == [(-w, 2 * w - 1), (5 * w, 6 * w - 1)]
-    assert H._ranges(bits(16384)) == [(-(2**63), -(2**63) + w - 1)]
-    many = H._ranges(bits(*range(0, 30000, 7)))
-    assert len(many) == H.RANGES and all(any(lo <= (s - 32768 * (s >= 16384)) * w and ((s - 32768 * (s >= 16384)) + 1) * w - 1 <= hi for lo, hi in many) for s in range(0, 30000, 7))
+    assert N.ranges_of(None) == [] and N.ranges_of(bits()) == []
+    assert N.ranges_of(bits(0, 1, 5, 32767)) == [(-w, 2 * w - 1), (5 * w, 6 * w - 1)]
+    assert N.ranges_of(bits(16384)) == [(-(2**63), -(2**63) + w - 1)]
+    many = N.ranges_of(bits(*range(0, 30000, 7)))
+    assert len(many) == N.RANGES and all(any(lo <= (s - 32768 * (s >= 16384)) * w and ((s - 32768 * (s >= 16384)) + 1) * w - 1 <= hi for lo, hi in many) for s in range(0, 30000, 7))
 
 
 def test_history_reopened(spark, tmp_path):
@@ -203,6 +204,15 @@ def test_seen_keys_grow(spark):
     assert sorted(r[0] for r in s.check(frame(["c", "d", "z", "b"]))[0].collect()) == [0, 2, 3]
 
 
+def test_seen_keys_reads_what_a_batch_needs(spark):
+    """Of 20,000 keys, a batch with 1 % known ones reads less than a tenth; a batch of new keys reads about its false positives."""
+    s = S.SeenKeys(spark, spark.range(20000).selectExpr("concat('k', id) as key"))
+    ids = spark.range(200)
+    known = ids.selectExpr("id as record_id", "case when id < 20 then concat('k', id * 997) else concat('n', id) end as key")
+    assert sorted(r[0] for r in s.check(known)[0].collect()) == list(range(20))
+    assert 0 < sum(N.within(s.keys, r).count() for r in s.asked) < 2000
+
+
 def test_seen_keys_empty(spark):
     none = spark.createDataFrame([], "key string")
     batch = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "record_id bigint, key string")

@@ -5,8 +5,9 @@ most one word in ten replaced, dropped or added, the first and the last ones inc
 two of which one has no more edits for its length, so parts of up to 39 words with 3 edits decide. Any of them keeps a run of ``RUN``
 consecutive words intact: m words with e edits leave at least (m - e) / (e + 1) in a row, which is least for 20 words with 2 edits.
 So the SimHash windows are RUN words wide: a window of that part has the very fingerprint of an item's window, and the search misses
-nothing. (A window as long as an item can't serve: SimHashes of an item and a third of it are as far apart as those of unrelated
-texts.) Only passages of 10 or 11 words with an edit in the middle (5 words in a row are left) and those of fewer than RUN words need
+nothing. Windows of the size of an item miss parts, as measured on 400 parts of 20 words with 2 words replaced, planted in documents: at
+radius 3, 6, 9 and 12 windows of 20 words find 3, 23, 71 and 97 % of them, windows as long as the passage 0, 0, 0 and 1 %. Against that,
+equal windows of RUN words find all; the Hamming radius only adds pairs, which the similarity then refuses. Only passages of 10 or 11 words with an edit in the middle (5 words in a row are left) and those of fewer than RUN words need
 less; they are searched by exact windows of 5 words and of the whole passage.
 
 One pass over the corpus, no shuffle, nothing of the corpus is gathered:
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ RUN, RADIUS, BLOCKS = 6, 3, 4
 #: Edits that the longest part which must be looked at may have.
 EDITS = (2 * MIN_WORDS - 1) // EDIT_SHARE
 SIMILAR = 0.8
+#: Words of a document that are fingerprinted at a time.
+STRETCH = 1 << 16
 #: Items searched for in one pass over the corpus; more take further passes.
 ITEMS_PER_PASS = 20_000
 
@@ -43,13 +47,13 @@ FOLD = str.maketrans({"ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE", "œ": "oe",
 #: characters that end a word although they aren't ASCII, and ASCII that joins or ends one
 GAPS = {c: " " for c in "–—―‒−•·…  \u0085 　"}
 _LOW = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_TAG = re.compile(r"<(/?)(\w*)[^<>]{0,300}>")
+_TAG = re.compile(r"<(/?)(\w*)[^<>]*>")
 _MOJI = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]{1,3}")
 _ESC = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([nrt])|\\(.)")
 _QP = re.compile(r"(?:=[0-9A-F]{2})+|(?:%[0-9A-Fa-f]{2})+")
 _DIGITS = re.compile(r"(?<=\d)[,.'’_  ](?=\d)")
 _BREAK = re.compile(r"[-‐­=][ \t]*\r?\n[>|#*\s]*")
-_LINK = re.compile(r"\]\([^()\s]{0,300}\)")
+_LINK = re.compile(r"\]\([^()\s]*\)")
 _INLINE = {"b", "i", "em", "strong", "span", "a", "u", "code", "mark", "small", "sup", "sub", "wbr", "font"}
 
 
@@ -215,7 +219,10 @@ class Items:
         unknown = len(self.code)
         code = np.array([self.code.get(w, unknown) for w in words(text)], dtype=np.int64)
         found = self._short(code.tolist()) if self.short else set()
-        x, y = self.near(self.prints(code))
+        # a stretch at a time, so that a book takes no more memory than a page does; the last words of one belong to the next too
+        near = [self.near(self.prints(code[at : at + STRETCH + RUN - 1])) for at in range(0, len(code), STRETCH)]
+        x = np.concatenate([np.zeros(0, int), *(a + k * STRETCH for k, (a, _) in enumerate(near))])
+        y = np.concatenate([np.zeros(0, int), *(b for _, b in near)])
         for p in np.unique(self.owner[y]).tolist():
             mine = self.owner[y] == p
             if p not in found and self.holds(code, self.coded[p], x[mine], self.at[y[mine]], self.weight):
@@ -296,9 +303,11 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     docs = documents.where(F.col(text).isNotNull()).select(doc_id, text)
     out = None
     for k in range(0, max(1, len(rows)), ITEMS_PER_PASS):
-        known = Items(rows[k : k + ITEMS_PER_PASS])
+        # ITEMS_PER_PASS bounds what is broadcast: some 2 KB an item
+        shared = documents.sparkSession.sparkContext.broadcast(Items(rows[k : k + ITEMS_PER_PASS]))
 
-        def search(batches: Iterator[pa.RecordBatch], known: Items = known) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            known = shared.value
             for b in batches:
                 found = [(i, x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in known.leaks(t)]
                 if found:

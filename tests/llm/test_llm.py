@@ -390,6 +390,25 @@ def test_search_is_complete():
     assert set(zip(x.tolist(), y.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(d <= L.RADIUS))))
 
 
+def test_leaks_behind_long_tags_and_links():
+    """Tags and link targets of any length inside a passage are taken off."""
+    words = [f"w{i}x" for i in range(40)]
+    known = L.Items([(1, " ".join(words))])
+    for n in (100, 310, 5000):
+        tagged = " ".join(f'<a href="https://host/{"q" * n}">{w}</a>' if i % 5 == 2 else f"[{w}](https://host/{'r' * n})" if i % 5 == 4 else w for i, w in enumerate(words))
+        assert known.leaks(f"some text before {tagged} and after") == [1]
+
+
+def test_leaks_in_long_texts(monkeypatch):
+    """Documents are fingerprinted in stretches: a passage across the border of two is found."""
+    monkeypatch.setattr(L, "STRETCH", 64)
+    words = [f"w{i}x" for i in range(30)]
+    known = L.Items([(1, " ".join(words))])
+    for before in range(30, 70, 3):
+        part = words[:9] + ["new"] + words[10:24]
+        assert known.leaks(" ".join(["other"] * before + part + ["more"] * 200)) == [1]
+
+
 def test_leaks_frame(spark, monkeypatch):
     docs = spark.createDataFrame([(1, PASSAGE), (2, None), (3, ""), (4, NOISE), (5, NOISE * 2000 + PASSAGE)], "doc_id bigint, text string").withColumn("item_id", F.lit(9))
     its = spark.createDataFrame([(7, PASSAGE, "s"), (8, PASSAGE, "s"), (9, None, "s"), (10, NOISE.upper(), "s")], "item_id bigint, passage string, suite string")

@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.operators.membership import skew_safe_join
 from blockloom.workspace import fresh_path, written
 
 COVER = 0.5
-#: Words kept in the ranked vocabulary; all others share the next rank. Bounds what is sent to the tasks.
+#: Words of the vocabulary that is sent to the tasks, at most. Documents of which the coverage rank lies beyond are ranked by joins.
 VOCABULARY = 65_536
 #: Labelled documents used for calibration, drawn by a hash of their id.
 MAX_LABELS = 20_000
@@ -41,7 +42,7 @@ OTHERS = frozenset(
 )
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
-_TAG = re.compile(r"<[^<>\n]{0,300}>")
+_TAG = re.compile(r"<[^<>\n]*>")
 _SKIP = ("|", "    ", "\t", "$ ", "{", "}")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|;\s")
 _END = re.compile(r"[.!?…:;][\"'”’)\]]*$")
@@ -144,6 +145,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _measure(rank: dict[str, int], unknown: int, cover: float):
+    """The measures of written sentences; the rank is null where it lies beyond the words of ``rank``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = rank.get
         for b in batches:
@@ -153,7 +156,8 @@ def _measure(rank: dict[str, int], unknown: int, cover: float):
                 flat = [w for s in ss for w in s]
                 r = np.fromiter([get(w, unknown) for w in flat], np.int64, len(flat))
                 k = int(np.ceil(cover * len(r))) - 1
-                cov.append(int(np.partition(r, k)[k]))
+                at = int(np.partition(r, k)[k])
+                cov.append(at if at < unknown else None)
                 n = np.array([len(s) for s in ss])
                 letters = np.add.reduceat(np.fromiter(map(len, flat), np.int64, len(flat)), np.concatenate([[0], np.cumsum(n)[:-1]]))
                 sent.append(float(np.median(n)))
@@ -175,10 +179,49 @@ def measures(documents: DataFrame, cover: float = COVER, vocabulary: int = VOCAB
     docs.mapInArrow(_read, "kind string, doc_id bigint, text string, n bigint").write.partitionBy("kind").option("compression", "zstd").parquet(path)
     got = spark.read.schema("doc_id bigint, text string, n bigint, kind string").parquet(path)
     counts = got.where("kind = 'w'").groupBy("text").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "text").limit(vocabulary).collect()  # at most ``vocabulary`` words
-    rank = {r["text"]: k + 1 for k, r in enumerate(top)}
+    counts = written(counts.where("text is not null"), "word-counts")
+    floor = _least_count(counts, vocabulary)
+    top = counts.where(F.col("n") > floor).collect()  # at most ``vocabulary`` words, and none are sent that aren't among them
+    rank = {r["text"]: k + 1 for k, r in enumerate(sorted(top, key=lambda r: (-r["n"], r["text"])))}
     prose = got.where("kind = 'd'").select("doc_id", "text")
-    return prose.mapInArrow(_measure(rank, len(rank) + 1, cover), "doc_id bigint, coverage_rank bigint, sentence_words double, word_letters double")
+    measured = prose.mapInArrow(_measure(rank, len(rank) + 1, cover), "doc_id bigint, coverage_rank bigint, sentence_words double, word_letters double")
+    measured = written(measured, "measured")
+    beyond = measured.where("coverage_rank is null").drop("coverage_rank")
+    ranks = _ranks_beyond(prose.join(beyond.select("doc_id"), "doc_id", "left_semi"), counts, floor, len(rank), cover)
+    return measured.where("coverage_rank is not null").unionByName(beyond.join(ranks, "doc_id").select(measured.columns))
+
+
+def _least_count(counts: DataFrame, vocabulary: int) -> int:
+    """The least count c for which at most ``vocabulary`` words come more than c times. Counts are looked for in 64 steps per doubling
+    first, so a few thousand rows of a histogram are all that is gathered; then within the step that holds the limit."""
+    step = F.floor(F.log2("n") * 64).cast("int")
+    hist = sorted(((r["s"], r["k"]) for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    words = 0
+    for s, k in hist:
+        if words + k > vocabulary:
+            inside = counts.where(step == s).groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+            run = Window.partitionBy(F.lit(1)).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            # the counts of one step: a window over a 64th of a doubling
+            over = inside.withColumn("upto", F.sum("k").over(run) + F.lit(words)).where(F.col("upto") > vocabulary)
+            return int(over.agg(F.max("n")).first()[0])
+        words += k
+    return 0
+
+
+def _ranks_beyond(prose: DataFrame, counts: DataFrame, floor: int, known: int, cover: float) -> DataFrame:
+    """(doc_id, coverage_rank) of documents whose rank lies beyond the vocabulary that was sent: the words that come at least as often as
+    the one with which the share is covered. Words of one count share the rank of the last of them."""
+    spans = counts.where(F.col("n") <= floor).groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    run = Window.partitionBy(F.lit(1)).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = spans.select("n", (F.sum("k").over(run) + F.lit(known)).alias("rank"))  # one row a count up to the floor
+    words = prose.select("doc_id", F.explode(F.split("text", "[ \n]")).alias("text")).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("c"))
+    # a word above the floor has a lower rank than any beyond it, whichever
+    rare = counts.where(F.col("n") <= floor).join(spans, "n").select("text", "rank")
+    of = skew_safe_join(words, rare, "text", max(1, known), "left").groupBy("doc_id", F.coalesce("rank", F.lit(0)).alias("rank")).agg(F.sum("c").alias("c"))
+    w = Window.partitionBy("doc_id")
+    upto = F.sum("c").over(w.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    of = of.withColumn("need", F.ceil(F.sum("c").over(w) * F.lit(cover))).withColumn("upto", upto)
+    return of.where("upto >= need").groupBy("doc_id").agg(F.min("rank").cast("bigint").alias("coverage_rank"))
 
 
 _CELL = ["floor(ln(1 + coverage_rank) * {0} / {k})", "floor(ln(sentence_words) * {1} / {k})", "floor(word_letters * {2} / {k})"]

@@ -4,6 +4,7 @@ import datetime as dt
 import html
 import random
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -523,6 +524,24 @@ def test_wrapped_text_has_its_sentences(width, mark, end):
     assert R.sentences(end.join(short)) == [x.split() for x in short]
 
 
+def test_coverage_ranks_beyond_the_vocabulary(spark):
+    """Documents of rare words get their rank by joins: brute force over all words, ties beyond the vocabulary share a rank."""
+    docs = spark.read.parquet(f"{DATA}/{SF}/documents.parquet")
+    got = {r.doc_id: r for r in R.measures(docs, vocabulary=40).collect()}
+    texts = {i: ss for i, t in docs.select("doc_id", "text").where("text is not null").collect() if sum(map(len, ss := R.sentences(t))) >= R.MIN_WORDS and R._is_english(ss)}
+    n = Counter(w for ss in texts.values() for s in ss for w in s)
+    assert set(got) == set(texts)
+    floor = R._least_count(spark.createDataFrame(list(n.items()), "text string, n bigint"), 40)
+    assert sum(k > floor for k in n.values()) <= 40 < sum(k >= floor for k in n.values())
+    top = {w: k + 1 for k, w in enumerate(sorted((w for w in n if n[w] > floor), key=lambda w: (-n[w], w)))}
+    least = Counter(n.values())
+    rank = {w: top.get(w) or sum(c for k, c in least.items() if k >= n[w]) for w in n}
+    for i, ss in texts.items():
+        r = sorted(rank[w] for s in ss for w in s)
+        assert got[i].coverage_rank == r[int(np.ceil(0.5 * len(r))) - 1]
+    assert any(x.coverage_rank > len(top) for x in got.values()) and any(x.coverage_rank <= len(top) for x in got.values())
+
+
 def test_levels_held_out(spark):
     """Grades of half the labelled documents against a calibration on the other half."""
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "level_labels"))

@@ -6,6 +6,7 @@ or are left over. The last functions lift them to tables; there a failed row has
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -433,3 +434,28 @@ def manifest_frames(entries: DataFrame, blob: str) -> DataFrame:
             yield pa.record_batch([b.column(0), b.column(1), pa.array(frames, pa.binary()), pa.array(n, pa.int32()), pa.array(errors, pa.string())], [blob, "page", "frame", "entries", "error"])
 
     return g.mapInArrow(run, f"`{blob}` {kind}, page int, frame binary, entries int, error string")
+
+
+def manifest_roots(pages: DataFrame, blob: str) -> DataFrame:
+    """(blob, root, size): one root a blob over its pages, each named by the hash and length of its frame. ``pages`` has blob, page,
+    frame, entries, start, end in the blob's own bytes; a blob whose pages don't follow each other is an error."""
+    from blockloom.operators.transduce import fold_emit
+
+    def machine(rows):
+        got = [Page(Key("manifest", "sha-256", hashlib.sha256(frame).hexdigest(), len(frame)), start, end, n) for frame, n, start, end in rows]
+        size = got[-1].end + 1
+        yield encode_root(got, size), size
+
+    return fold_emit(pages, [blob], ["page"], ["frame", "entries", "start", "end"], "root binary, size bigint", machine)
+
+
+def root_pages(roots: DataFrame, blob: str) -> DataFrame:
+    """(blob, page, digest, frame_bytes, start, end, entries) of decoded roots: what to read, and how to check it."""
+    from blockloom.operators.transduce import fold_emit
+
+    def machine(rows):
+        for (root,) in rows:
+            for k, p in enumerate(decode_root(bytes(root))[0]):
+                yield k, p.key.digest, p.key.size, p.start, p.end, p.entries
+
+    return fold_emit(roots, [blob], [blob], ["root"], "page int, digest string, frame_bytes bigint, `start` bigint, `end` bigint, entries int", machine)

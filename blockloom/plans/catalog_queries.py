@@ -126,7 +126,41 @@ def codec_manifest_frames(spark, sf):
     return K.manifest_frames(e, "doc_id")
 
 
+@query(f"select doc_id, 0 as page, 0::bigint as start, max(octet_length(encode(text)))::bigint - 1 as end, count(*)::int as entries, true as named from {B256} join documents using (doc_id) group by 1")
+def codec_manifest_root(spark, sf):
+    """Pages of manifests under a root, encoded and read back; each page's name is the hash of its frame."""
+    blocks, manifest = _ingested(spark, sf)
+    k = F.split("block_key", ":")
+    e = manifest.select("doc_id", "ordinal", k[0].alias("algo"), k[1].alias("digest"), k[2].cast("bigint").alias("size"), "start", "end")
+    frames = K.manifest_frames(e, "doc_id").select("doc_id", "page", "frame", "entries")
+    pages = frames.join(store.paginate(manifest, "doc_id", K.MAX_ENTRIES).select("doc_id", F.col("page").cast("int").alias("page"), "start", "end"), ["doc_id", "page"])
+    back = K.root_pages(K.manifest_roots(pages, "doc_id"), "doc_id")
+    named = back.join(pages.select("doc_id", "page", F.sha2("frame", 256).alias("want")), ["doc_id", "page"])
+    return named.select("doc_id", "page", "start", "end", "entries", (F.col("digest") == F.col("want")).alias("named"))
+
+
 # ---- ranges: chunks of blobs, gaps between them ----
+_PAIRS = "(select l_orderkey, l_linenumber, l_partkey st, l_partkey + 40 en, lag(l_partkey) over w ps, lag(l_partkey) over w + l_suppkey en2 from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey))"
+
+
+@query(
+    f"with p as (select *, st <= en2 and ps <= en as ov, en + 1 = ps or en2 + 1 = st as tou from {_PAIRS} where ps is not null) select l_orderkey, l_linenumber, ov as overlaps, tou as touches, case when ov or tou then least(st, ps) end as merged_start, case when ov or tou then greatest(en, en2) end as merged_end, case when ov then greatest(st, ps) end as both_start, case when ov then least(en, en2) end as both_end, "
+    "case when ov then (st < ps)::int + (en > en2)::int else 1 end as rest_spans, case when ov then greatest(ps - st, 0) + greatest(en - en2, 0) else en - st + 1 end as rest_length from p"
+)
+def range_pairwise(spark, sf):
+    """Each line's span against that of the line before: overlap, touch, merge, intersection and what is left."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.lag("l_partkey").over(w).alias("ps"), F.col("l_partkey").alias("st")).where("ps is not null")
+    a, b = (F.col("st"), F.col("st") + 40), (F.col("ps"), F.col("ps") + F.col("l_suppkey"))
+    rest, m, i = R.subtract(*a, *b), R.merge(*a, *b), R.intersection(*a, *b)
+    length = F.aggregate(rest, F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["start"] + 1)
+    return d.select(
+        "l_orderkey", "l_linenumber", R.overlaps(*a, *b).alias("overlaps"), R.touches(*a, *b).alias("touches"), m["start"].alias("merged_start"), m["end"].alias("merged_end"), i["start"].alias("both_start"), i["end"].alias("both_end"), F.size(rest).alias("rest_spans"), length.alias("rest_length")
+    )
+
+
 _SPAN = "select lower(hex(key)) k, chunk_offset st, chunk_offset + chunk_size - 1 en from blob_data where chunk_size > 0"
 _NORM = "(select k, min(st) st, max(en) en from (select *, sum(n) over (partition by k order by st, en rows unbounded preceding) i from (select *, case when max(en) over (partition by k order by st, en rows between unbounded preceding and 1 preceding) >= st - 1 then 0 else 1 end n from ({s}))) group by k, i)"
 
@@ -311,6 +345,15 @@ def store_verify_blocks(spark, sf):
     return store.verify_blocks(b, want, ["doc_id"]).select("doc_id", "block_index", "result")
 
 
+@query("with c as (select doc_id, i as block_index from (select doc_id, unnest(range(0, (octet_length(encode(text)) + 255) // 256)) i from documents where text <> '')) select doc_id, block_index, case when block_index % 5 = 4 then 'Failed' else 'Passed' end as result from c")
+def store_blob_verifier(spark, sf):
+    """Texts as streams of 100-byte chunks, re-blocked to 256 bytes and checked against key lists that are wrong at every fifth block."""
+    d = table(spark, sf, "documents").where("text <> ''").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    chunks = chunking.fixed_blocks(d, ["doc_id"], "data", 100).select("doc_id", F.col("block_index").alias("seq"), F.col("block").alias("chunk"))
+    want = _ingested(spark, sf)[0].select("doc_id", "block_index", F.when(F.col("block_index") % 5 == 4, "wrong").otherwise(F.col("block_key")).alias("expected"))
+    return store.verify_stream(chunks, ["doc_id"], ["seq"], "chunk", 256, want).select("doc_id", "block_index", "result")
+
+
 @query(f"select k, sum(en - st + 1)::bigint as size, count(*) as blocks from {_ENTRIES} where k not in (select lower(hex(key)) from blobs where deleted_at is not null and key is not null) group by 1")
 def store_delete_stat(spark, sf):
     gone = table(spark, sf, "blobs").where("deleted_at is not null").select(I.hex_lower(F.col("key")).alias("k"))
@@ -424,6 +467,22 @@ def catalog_change_feed(spark, sf):
     return C.change_feed(base.drop("version"), new, ["c_custkey"]).select("c_custkey", "op")
 
 
+@query("with k as (select c_custkey, md5('{\"k0\":' || c_custkey || ',\"k1\":\"' || c_mktsegment || '\"}') h from customer) select c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) as id from k")
+def catalog_natural_id(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", C.natural_id(F.col("c_custkey"), F.col("c_mktsegment")).alias("id"))
+
+
+@query("select event_type, count(*) as n, sum(value) as total from events group by 1")
+def catalog_partitioned(spark, sf):
+    """Written in hash partitions, read back; every key lies in one partition."""
+    from blockloom.workspace import fresh_path
+
+    path = fresh_path(spark, "partitioned")
+    C.partitioned(table(spark, sf, "events"), "event_type", 8).write.partitionBy("part").parquet(path)
+    per = spark.read.parquet(path).groupBy("part", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return per.select("event_type", "n", "total")
+
+
 @query("select doc_id, title, source, row_number() over (partition by source order by created_at, doc_id) - 1 as ordinal from documents")
 def catalog_numbered(spark, sf):
     return C.numbered(table(spark, sf, "documents"), ["source"], ["created_at", "doc_id"]).select("doc_id", "title", "source", "ordinal")
@@ -544,7 +603,10 @@ def catalog_export(spark, sf):
     return C.export(m, b, chosen, "doc_id").select("doc_id", "ordinal", F.sha2("block", 256).alias("digest"))
 
 
-@query()
+_TYPES = "case column_type when 'VARCHAR' then 'string' when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'BLOB' then 'binary' when 'BOOLEAN' then 'boolean' when 'DOUBLE' then 'double' when 'TIMESTAMP' then 'timestamp_ntz' else column_type end"
+
+
+@query(" union all ".join(f"select '{t}' as table_name, (row_number() over () - 1)::int as ordinal, column_name, {_TYPES} as type, true as nullable from (describe {t})" for t in ("documents", "blobs", "audit_record")))
 def catalog_schema(spark, sf):
     parts = [C.describe(table(spark, sf, t), t) for t in ("documents", "blobs", "audit_record")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

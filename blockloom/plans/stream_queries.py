@@ -235,6 +235,36 @@ def stream_parse(spark, sf):
     return d.select("request_id", "seq", D.parse_int(F.col("request_id")).alias("as_int"), D.parse_hex_size(F.hex("seq")).alias("as_hex"))
 
 
+@query(f"with l as (select user_id, event_id, value, list(value) {OVER} l from events where value is not null) select user_id, event_id, value, list_reduce(l, lambda a, x: a * 0.75 + x * 0.25) as ema from l")
+def stream_ema_running(spark, sf):
+    return X.ema_running(_events(spark, sf), PART, ORDER, "value", 0.25).select("user_id", "event_id", "value", "ema")
+
+
+@query("select user_id, sum(octet_length(encode(props)))::bigint as bytes, count(*) as chunks, sha256(string_agg(props, '' order by ts, event_id)) as sha256, ((sum(octet_length(encode(props))) + 99) // 100)::bigint as blocks from events group by 1")
+def stream_count_hash_rechunk(spark, sf):
+    d = _events(spark, sf).withColumn("chunk", F.encode("props", "UTF-8"))
+    blocks, summary = X.count_hash_rechunk(d, PART, ORDER, "chunk", 100)
+    return summary.join(blocks.groupBy("user_id").agg(F.count(F.lit(1)).alias("blocks")), "user_id", "left").select("user_id", "bytes", "chunks", "sha256", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+
+
+@query("select count(*) as rows, sum(octet_length(encode(props)))::bigint as bytes from events")
+def stream_observed(spark, sf):
+    """What passes a running query, counted beside it: block and byte totals."""
+    d, seen = X.observed(_events(spark, sf), "passed", F.octet_length("props"))
+    d.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"], seen.get["bytes"])], "rows bigint, bytes bigint")
+
+
+@query("select user_id, count(*) as n, sum(floor(value))::bigint as total, min(value) as low, max(value) as high from events group by 1")
+def stream_state_merge(spark, sf):
+    """The states of two summaries merged into one record with the fields of both."""
+    e = _events(spark, sf)
+    left = e.groupBy("user_id").agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.floor("value")).cast("bigint").alias("total")).alias("a"))
+    right = e.groupBy("user_id").agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high")).alias("b"))
+    m = X.merge_structs(F.col("a"), F.col("b"), ["n", "total"], ["low", "high"])
+    return left.join(right, "user_id").select("user_id", m.alias("s")).select("user_id", "s.*")
+
+
 # ---- blocks of documents ----
 _BLOCKS = "(select doc_id, i as block_index, b[i * {n} + 1 : least(i * {n} + {n}, octet_length(b))] as block from (select doc_id, encode(text) b, unnest(range(0, (octet_length(encode(text)) + {n} - 1) // {n})) i from documents where text <> ''))"
 B256 = _BLOCKS.format(n=256)

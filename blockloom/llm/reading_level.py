@@ -32,6 +32,8 @@ VOCABULARY = 65_536
 #: Labelled documents used for calibration, drawn by a hash of their id.
 MAX_LABELS = 20_000
 MIN_WORDS = 8
+#: Document ids that are broadcast at most (some 20 MB).
+MAX_IDS = 500_000
 #: steps of a cell per unit of ln(1 + coverage rank), ln(sentence words), letters of a word
 STEPS = (4.0, 3.0, 2.0)
 
@@ -187,7 +189,11 @@ def measures(documents: DataFrame, cover: float = COVER, vocabulary: int = VOCAB
     measured = prose.mapInArrow(_measure(rank, len(rank) + 1, cover), "doc_id bigint, coverage_rank bigint, sentence_words double, word_letters double")
     measured = written(measured, "measured")
     beyond = measured.where("coverage_rank is null").drop("coverage_rank")
-    ranks = _ranks_beyond(prose.join(beyond.select("doc_id"), "doc_id", "left_semi"), counts, floor, len(rank), cover)
+    n = beyond.count()
+    if not n:
+        return measured
+    ids = beyond.select("doc_id")  # mostly a few; their sentences stay where they lie while the ids are few enough to be broadcast
+    ranks = _ranks_beyond(prose.join(F.broadcast(ids) if n <= MAX_IDS else ids, "doc_id", "left_semi"), counts, floor, len(rank), cover)
     return measured.where("coverage_rank is not null").unionByName(beyond.join(ranks, "doc_id").select(measured.columns))
 
 

@@ -137,6 +137,40 @@ def test_history_reads_what_a_call_needs(spark, monkeypatch):
     assert {tuple(r) for r in h.pairs(since=5).collect()} == {(7, 100007), (950, 100950)}
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_history_of_large_calls_scans_the_store_once(spark, monkeypatch, few):
+    """Also where more is asked for than is sent or broadcast at once, what is joined are the rows the store holds of it, not the store."""
+    monkeypatch.setattr(H, "FEW", few)
+    ids = spark.range(40000)
+    data = ids.selectExpr("cast(floor(id / 20) as bigint) as ingest_id", "cast(floor(id / 8000) as int) as batch_id", "encode(cast(id as string), 'UTF-8') as f")
+    h, asked, links = H.BatchHistory(spark), [], []
+    h.accept(data)
+    read, run = h.read, h._run
+    monkeypatch.setattr(h, "read", lambda name, ranges=None: (asked.append(name), read(name, ranges))[1])
+    monkeypatch.setattr(h, "_run", lambda name, df, level=0: (links.extend(df.inputFiles()) if name == "links" else None, run(name, df, level))[1])
+    again = data.where("ingest_id % 50 = 7").selectExpr("ingest_id + 100000 as ingest_id", "9 as batch_id", "f").where("f <> encode('141', 'UTF-8')")
+    assert h.accept(again)["looked_up"] > 0
+    assert asked.count("prints") == 1 and links and not any("/prints/" in f for f in links)
+    assert {tuple(r) for r in h.pairs(since=1).collect()} == {(i, i + 100000) for i in range(7, 2000, 50)}
+
+
+@pytest.mark.parametrize("seed,few,send", [(21, 0, 10**6), (22, 0, 7), (23, 10**6, 7)])
+def test_history_sends_what_it_asks_for_in_parts(spark, monkeypatch, seed, few, send):
+    monkeypatch.setattr(H, "FEW", few)
+    monkeypatch.setattr(H, "SEND", send)
+    test_history_finds_all_pairs(spark, seed, 3)
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_batches_of_ingests_in_several(spark, tmp_path, monkeypatch, few):
+    """An ingest goes to its first batch whole, however many have to be moved."""
+    monkeypatch.setattr(H, "FEW", few)
+    rows = [(1, 2, b"a"), (1, 1, b"b"), (2, 2, b"a"), (2, 2, b"c"), (3, 3, b"x"), (3, 1, None), (None, 1, b"y"), (4, None, b"z")]
+    assert H.by_batch(spark.createDataFrame(rows, "ingest_id bigint, batch_id int, f binary"), at := str(tmp_path / "b")) == [1, 2]
+    got = {(r["batch_id"], r["ingest_id"], bytes(r["f"])) for r in spark.read.parquet(at).collect()}
+    assert got == {(1, 1, b"a"), (1, 1, b"b"), (2, 2, b"a"), (2, 2, b"c"), (1, 3, b"x")}
+
+
 def test_ranges():
     bits = lambda *s: sum(1 << i for i in s).to_bytes(4096, "little")
     w = 1 << 49
